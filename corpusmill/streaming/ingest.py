@@ -20,6 +20,7 @@ def ingest_stream(
     importer: str = "directory",
     encoder: Encoder | None = None,
     max_files: int | None = None,
+    pattern: str = RECORD_FILE,
     **options,
 ) -> StreamingQuery:
     """Merge every file not seen before, then stop; the checkpoint remembers which those are.
@@ -33,7 +34,7 @@ def ingest_stream(
     reader = spark.readStream
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=RECORD_FILE)
+    files = reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
 
     def take(batch: DataFrame, _: int) -> None:
         result = import_files(store, batch, importer, **options)
