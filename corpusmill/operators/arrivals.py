@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.schema import SOURCE_PRIORITY, UNKNOWN_PRIORITY, source_priority
-from corpusmill.session import broadcast_if_small, materialize
+from corpusmill.session import materialize
 
 # monotonically_increasing_id keeps the row number in its low bits, the partition above them.
 PARTITION_BITS = 33
@@ -57,5 +57,5 @@ def number_in_order(rows: DataFrame, *keys: str | Column) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = F.col("at").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
-    numbered = placed.join(broadcast_if_small(starts), "part").withColumn("ord", F.col("start") + within + 1)
+    numbered = placed.join(starts, "part").withColumn("ord", F.col("start") + within + 1)
     return numbered.drop("part", "at", "start")

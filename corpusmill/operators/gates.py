@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.schema import MANIFEST, REQUIRED, SOURCE_PRIORITY
-from corpusmill.session import broadcast_if_small
+from corpusmill.session import batch_keys, broadcast_if_small, materialize
 
 
 class UnvettedRepositoryError(Exception):
@@ -37,13 +37,13 @@ def require_known_sources(records: DataFrame) -> None:
         raise UnknownSourceError("sources outside the domain: " + ", ".join(bad))
 
 
-def id_clashes(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def id_clashes(stored: DataFrame, batch: DataFrame, small_batch: bool | None = None) -> DataFrame:
     """(id, content_hash) pairs of the batch whose id an earlier, different body already holds.
 
     Ids carry 32 bits of the content hash, so two bodies of one name can meet. Copies of one record
     share both columns and combine before the shuffle.
     """
-    ids = broadcast_if_small(batch.select("id").distinct())
+    ids = batch_keys(batch, "id", small_batch)
     no_order = F.lit(None).cast(batch.schema["ord"].dataType)
     held = stored.join(ids, "id", "left_semi").select("id", "content_hash", no_order.alias("ord"))
     first = (
@@ -68,11 +68,11 @@ def with_reject_reason(batch: DataFrame) -> DataFrame:
     return batch.withColumn("reason", reason)
 
 
-def admit(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split a batch into records fit for the merge and rejects with their reason."""
+def admit(stored: DataFrame, batch: DataFrame, small_batch: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split a written batch into records fit for the merge and rejects with their reason."""
     checked = with_reject_reason(batch)
     sound = checked.where("reason IS NULL").drop("reason")
-    clashes = broadcast_if_small(id_clashes(stored, sound.select("id", "content_hash", "ord")))
+    clashes = materialize(id_clashes(stored, sound.select("id", "content_hash", "ord"), small_batch), "clashes")
     rejects = checked.where("reason IS NOT NULL").select("ord", "id", "name", "source", "reason")
     clashing = sound.join(clashes, ["id", "content_hash"], "left_semi")
     rejects = rejects.unionByName(clashing.select("ord", "id", "name", "source", F.lit("id clash").alias("reason")))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
-from corpusmill.session import broadcast_if_small, materialize
+from corpusmill.session import broadcast_if_small, is_small, materialize
 
 # The indexed columns, BM25 constants and the floor under the inverse frequency.
 FIELDS = ("name", "description", "instructions")
@@ -30,7 +30,7 @@ B = 0.75
 IDF_FLOOR = 1e-6
 
 MODES = ("all", "any", "phrase", "prefix")
-LENGTH_UNIT = -1
+LENGTH_UNIT = ""
 PREFIX = 3
 TIE_DIGITS = 9
 
@@ -89,47 +89,55 @@ def corpus_stats(postings: DataFrame) -> DataFrame:
     )
 
 
-def _query_grams(queries: DataFrame, mode: str, exclude: Column | None) -> DataFrame:
+def _query_units(queries: DataFrame, mode: str, exclude: Column | None) -> DataFrame:
     """(query_id, unit, grams, prefix, negated, weight): what each query asks for.
 
     A unit is what BM25 scores as one phrase. A term repeated in a query keeps its multiplicity as
     weight.
     """
-    words = queries.select("query_id", tokens(F.col("query")).alias("words"))
+    found = queries.select("query_id", tokens(F.col("query")).alias("grams"), F.lit(False).alias("negated"))
     if mode == "phrase":
-        units = words.where(F.size("words") > 0).select(
-            "query_id", F.col("words").alias("unit"), F.lit(False).alias("prefix"), F.lit(False).alias("negated")
-        )
+        units = found.where(F.size("grams") > 0)
     else:
-        units = words.select(
-            "query_id",
-            F.explode("words").alias("word"),
-            F.lit(mode == "prefix").alias("prefix"),
-            F.lit(False).alias("negated"),
-        ).withColumn("unit", F.array("word"))
-    units = units.select("query_id", "unit", "prefix", "negated")
+        units = found.withColumn("grams", F.explode("grams")).withColumn("grams", F.array("grams"))
+    units = units.withColumn("prefix", F.lit(mode == "prefix"))
     if exclude is not None:
-        barred = queries.select("query_id", F.explode(tokens(exclude)).alias("word")).select(
-            "query_id", F.array("word").alias("unit"), F.lit(False).alias("prefix"), F.lit(True).alias("negated")
+        barred = queries.select("query_id", F.explode(tokens(exclude)).alias("gram"))
+        units = units.unionByName(
+            barred.select(
+                "query_id",
+                F.array("gram").alias("grams"),
+                F.lit(True).alias("negated"),
+                F.lit(False).alias("prefix"),
+            )
         )
-        units = units.unionByName(barred)
-    return units.groupBy("query_id", "unit", "prefix", "negated").agg(F.count("*").alias("weight"))
+    # No token holds "*" or "#". A phrase is keyed by its digest: every one of its slots carries the key.
+    joined = F.concat_ws(" ", "grams")
+    text = F.when(F.size("grams") > 1, F.concat(F.lit("#"), F.md5(joined))).otherwise(
+        F.concat(joined, F.when(F.col("prefix"), F.lit("*")).otherwise(F.lit("")))
+    )
+    return (
+        units.withColumn("unit", text)
+        .groupBy("query_id", "unit", "grams", "prefix", "negated")
+        .agg(F.count("*").alias("weight"))
+    )
 
 
 def _unit_slots(units: DataFrame) -> DataFrame:
-    """(unit_id, prefix, gram, words, offset, n_slots): the grams a unit is recognised by.
+    """(unit, prefix, gram, words, offset, n_slots): the grams a unit is recognised by.
 
     A phrase of n words is covered by the pairs at 0, 2, 4, … and the pair ending the phrase.
     """
-    size = F.size("unit")
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0)), F.lit(2)), F.array(size - 2)))
-    starts = F.when(size == 1, F.array(F.lit(0))).otherwise(starts)
+    size = F.size("grams")
+    last = F.greatest(size - 2, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(2)), F.array(last)))
     placed = units.select(
-        "unit_id", "prefix", "unit", F.size(starts).alias("n_slots"), F.explode(starts).alias("offset")
+        "unit", "prefix", "grams", F.size(starts).alias("n_slots"), F.explode(starts).alias("offset")
     )
-    gram = F.concat_ws(" ", F.slice("unit", F.col("offset") + 1, F.least(F.lit(2), F.size("unit"))))
-    words = F.when(F.col("prefix"), F.lit(PREFIX)).otherwise(F.least(F.lit(2), F.size("unit")))
-    return placed.select("unit_id", "prefix", gram.alias("gram"), words.alias("words"), "offset", "n_slots")
+    span = F.least(F.lit(2), F.size("grams"))
+    gram = F.concat_ws(" ", F.slice("grams", F.col("offset") + 1, span))
+    words = F.when(F.col("prefix"), F.lit(PREFIX)).otherwise(span)
+    return placed.select("unit", "prefix", gram.alias("gram"), words.alias("words"), "offset", "n_slots")
 
 
 def _with_prefixes(postings: DataFrame, lengths: list[int]) -> DataFrame:
@@ -149,21 +157,27 @@ def _with_prefixes(postings: DataFrame, lengths: list[int]) -> DataFrame:
     )
 
 
-def _matches(postings: DataFrame, slots: DataFrame, phrases: bool, fields: Sequence[int] | None) -> DataFrame:
-    """(unit_id, id, n_hits, n_tokens, total_tokens) for every record holding a unit.
+def _matches(
+    postings: DataFrame, slots: DataFrame, phrases: bool, fields: Sequence[int] | None, small: bool
+) -> DataFrame:
+    """(id, unit, n_hits, n_tokens, total_tokens) for every record holding a unit.
 
-    The row with unit_id -1 and null id counts the records and their tokens.
+    The row with an empty unit and null id counts the records and their tokens.
     """
-    length_slot = slots.sparkSession.createDataFrame([(LENGTH_UNIT, False, "", 0, 0, 1)], slots.schema)
-    wanted = slots.unionByName(length_slot).select("unit_id", "gram", "words", "offset", "n_slots")
+    length_slot = slots.sparkSession.createDataFrame(
+        [(LENGTH_UNIT, "", 0, 0, 1)], "unit string, gram string, words int, offset int, n_slots int"
+    )
+    wanted = slots.select(*length_slot.columns).unionByName(length_slot)
+    if small:
+        wanted = F.broadcast(wanted)
     if fields is not None:
         postings = postings.where(F.col("field").isin([-1, *fields]))
     if not phrases:
         postings = postings.where("words <> 2")
-    joined = postings.join(broadcast_if_small(wanted), ["gram", "words"])
-    is_length = F.col("unit_id") == LENGTH_UNIT
+    joined = postings.join(wanted, ["gram", "words"])
+    is_length = F.col("unit") == LENGTH_UNIT
     found = joined.select(
-        "unit_id",
+        "unit",
         F.when(~is_length, F.col("id")).alias("id"),
         "field",
         (F.col("pos") - F.col("offset")).alias("start"),
@@ -174,24 +188,24 @@ def _matches(postings: DataFrame, slots: DataFrame, phrases: bool, fields: Seque
     if phrases:
         # All grams of a phrase present at one start: one occurrence.
         found = (
-            found.groupBy("unit_id", "id", "field", "start", "n_slots")
+            found.groupBy("unit", "id", "field", "start", "n_slots")
             .agg(
                 F.count("*").alias("present"),
                 F.max("n_tokens").alias("n_tokens"),
                 F.sum("n_tokens").alias("total_tokens"),
             )
-            .where((F.col("unit_id") == LENGTH_UNIT) | (F.col("present") == F.col("n_slots")))
+            .where((F.col("unit") == LENGTH_UNIT) | (F.col("present") == F.col("n_slots")))
         )
         hits = F.sum(F.when(is_length, F.col("present")).otherwise(F.lit(1)))
     total = F.sum("total_tokens" if phrases else "n_tokens")
-    return found.groupBy("id", "unit_id").agg(
+    return found.groupBy("id", "unit").agg(
         hits.cast("long").alias("n_hits"), F.max("n_tokens").alias("n_tokens"), total.alias("total_tokens")
     )
 
 
 def _weights(hits: DataFrame) -> DataFrame:
-    """(unit_id, idf, mean_tokens): one row per unit that occurs."""
-    is_length = F.col("unit_id") == LENGTH_UNIT
+    """(unit, idf, mean_tokens): one row per unit that occurs."""
+    is_length = F.col("unit") == LENGTH_UNIT
     stats = hits.where(is_length).agg(F.sum("n_hits").alias("n"), F.sum("total_tokens").alias("t")).first()
     n_records, n_tokens = stats["n"] or 0, stats["t"] or 0
     mean_tokens = n_tokens / n_records if n_tokens else 1.0
@@ -199,7 +213,7 @@ def _weights(hits: DataFrame) -> DataFrame:
     rarity = F.log((F.lit(n_records) - n + 0.5) / (n + 0.5))
     return (
         hits.where(~is_length)
-        .groupBy("unit_id")
+        .groupBy("unit")
         .agg(F.greatest(rarity, F.lit(IDF_FLOOR)).alias("idf"))
         .withColumn("mean_tokens", F.lit(mean_tokens))
     )
@@ -223,28 +237,25 @@ def search_postings(
         raise ValueError(f"mode must be one of {MODES}")
     if limit < 0:
         raise ValueError("limit must not be negative")
-    asked = materialize(_query_grams(queries, mode, exclude), "query-units")
-    unit_key = ["unit", "prefix"]
-    units = materialize(
-        asked.select(*unit_key).distinct().withColumn("unit_id", F.monotonically_increasing_id()), "units"
-    )
-    slots = _unit_slots(units)
+    asked = materialize(_query_units(queries, mode, exclude), "asked")
+    slots = _unit_slots(asked.select("unit", "grams", "prefix").distinct())
+    # A word has one slot, a phrase as many as it has pairs.
+    small = is_small(asked) and (mode != "phrase" or is_small(slots))
     if mode == "prefix":
         # Only the distinct word lengths come to the driver.
         lengths = [r["n"] for r in slots.where("prefix").select(F.length("gram").alias("n")).distinct().collect()]
         postings = _with_prefixes(postings, lengths)
     fields = None if columns is None else [FIELDS.index(c) for c in columns]
-    hits = materialize(_matches(postings, slots, mode == "phrase", fields), "hits")
+    hits = materialize(_matches(postings, slots, mode == "phrase", fields, small), "hits")
 
-    weights = _weights(hits)
-    per_query = asked.join(units, unit_key).select("query_id", "unit_id", "negated", "weight")
-    needed = per_query.groupBy("query_id").agg(F.count_if(~F.col("negated")).alias("needed"))
+    needed = asked.groupBy("query_id").agg(F.count_if(~F.col("negated")).alias("needed"))
     plan = (
-        per_query.join(weights, "unit_id", "left")
+        asked.join(_weights(hits), "unit")
         .join(needed, "query_id")
-        .select("query_id", "unit_id", "negated", "weight", "needed", "idf", "mean_tokens")
+        .select("query_id", "unit", "negated", "weight", "needed", "idf", "mean_tokens")
     )
-    plan = broadcast_if_small(materialize(plan, "query-plan"))
+    if small:
+        plan = F.broadcast(plan)
 
     length_part = K1 * ((1 - B) + F.lit(B) * F.col("n_tokens") / F.col("mean_tokens"))
     gain = F.col("weight") * F.col("idf") * F.col("n_hits") * (K1 + 1) / (F.col("n_hits") + length_part)
@@ -252,7 +263,7 @@ def search_postings(
     scored = (
         hits.where("id IS NOT NULL")
         .repartition("id")
-        .join(plan, "unit_id")
+        .join(plan, "unit")
         .groupBy("query_id", "id")
         .agg(
             F.sum(F.when(~F.col("negated"), gain)).alias("score"),
@@ -277,6 +288,6 @@ def keyword_search(corpus: DataFrame, queries: DataFrame, mode: str = "all", **o
 def attach_records(hits: DataFrame, corpus: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Join ranked hits with their records after the ranking, so bodies never take part in it.
 
-    Hits whose record is gone drop out.
+    Hits whose record is gone drop out. The hits are written first: their size decides the join.
     """
-    return corpus.select(*columns).join(broadcast_if_small(hits), "id")
+    return corpus.select(*columns).join(broadcast_if_small(materialize(hits, "ranked")), "id")

@@ -13,7 +13,7 @@ from corpusmill.operators.gates import admit, manifest_frame, require_known_sour
 from corpusmill.operators.keyword import attach_records, keyword_search, search_postings
 from corpusmill.operators.retrieval import search_summaries
 from corpusmill.schema import CORPUS, DEFAULT_MANIFEST, SUMMARY
-from corpusmill.session import materialize
+from corpusmill.session import is_small, materialize
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.records import parse_records, present_slugs, scan_record_files
 from corpusmill.sources.vector_index import EncoderMismatchError, VectorIndex, published_location
@@ -23,29 +23,40 @@ FIELDS = [f.name for f in CORPUS.fields]
 
 @dataclass
 class MergeResult:
-    """`stats`: total, added, replaced, skipped_duplicate. `rejects`: ord, id, name, source, reason."""
+    """`counts`: total, added, replaced, skipped_duplicate. `rejects`: ord, id, name, source, reason."""
 
-    stats: DataFrame
+    counts: dict[str, int]
     rejects: DataFrame
 
+    @property
+    def stats(self) -> DataFrame:
+        row = tuple(self.counts[c] for c in merge.STATS)
+        spark = self.rejects.sparkSession
+        return spark.createDataFrame([row], ", ".join(f"{c} long" for c in merge.STATS))
+
     def changed(self) -> bool:
-        return self.stats.where("added + replaced > 0").count() > 0
+        return bool(self.counts["added"] or self.counts["replaced"])
 
 
 def merge_batch(store: CorpusStore, batch: DataFrame) -> MergeResult:
     """Merge corpus rows with `ord` into the store as one version, under the priority rule."""
-    batch = materialize(batch, "batch")
+    return _merge_written(store, materialize(batch, "batch"))
+
+
+def _merge_written(store: CorpusStore, batch: DataFrame) -> MergeResult:
     stored = store.read().select("id", "content_hash", "source")
-    sound, rejects = admit(stored, batch)
-    rejects = materialize(rejects, "rejects")
-    outcomes = materialize(merge.hash_outcomes(stored, sound), "outcomes")
-    stats = materialize(merge.merge_stats(outcomes, rejects.count()), "stats")
-    result = MergeResult(stats, rejects)
-    if result.changed():
-        replaced = stats.first()["replaced"] > 0
-        gone = materialize(merge.displaced(stored, outcomes), "displaced") if replaced else None
+    small = is_small(batch.select("id", "content_hash"))
+    sound, rejects = admit(stored, batch, small)
+    outcomes = materialize(merge.hash_outcomes(stored, sound, small), "outcomes")
+    counts = merge.merge_stats(outcomes).first().asDict()
+    # Every record of the batch is either sound, and then an arrival, or rejected.
+    total = batch.count()
+    counts["skipped_duplicate"] += total - counts["total"]
+    counts["total"] = total
+    if counts["added"] or counts["replaced"]:
+        gone = merge.displaced(stored, outcomes) if counts["replaced"] else None
         store.records.append(merge.accepted(sound, outcomes), gone)
-    return result
+    return MergeResult(counts, rejects)
 
 
 def import_files(store: CorpusStore, files: DataFrame, importer: str, **options) -> MergeResult:
@@ -54,8 +65,8 @@ def import_files(store: CorpusStore, files: DataFrame, importer: str, **options)
     broken = parsed.where("error IS NOT NULL").select(
         "ord", "id", "name", "source", F.concat(F.lit("front matter: "), "error").alias("reason")
     )
-    result = merge_batch(store, parsed.where("error IS NULL").select(*FIELDS, "ord"))
-    return MergeResult(result.stats, result.rejects.unionByName(broken))
+    result = _merge_written(store, parsed.where("error IS NULL").select(*FIELDS, "ord"))
+    return MergeResult(result.counts, result.rejects.unionByName(broken))
 
 
 def import_tree(

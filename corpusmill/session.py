@@ -55,11 +55,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows and measuring their text.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame fits a broadcast, from its row count and the bytes of its text and arrays.
 
-    Past the bound the frame is returned unhinted, so the join shuffles. Call it on frames that are
-    cheap to scan or already materialised.
+    It reads the frame, so ask it of inputs and written tables, not of long computations.
     """
     width = F.lit(8 * len(df.columns))
     for name, kind in df.dtypes:
@@ -70,9 +69,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
         elif kind.startswith(("map", "struct")):
             width = width + F.octet_length(F.to_json(name))
     size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
-    if size["n"] <= max_rows and (size["b"] or 0) <= BROADCAST_BYTES:
-        return F.broadcast(df)
-    return df
+    return size["n"] <= max_rows and (size["b"] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast behind a size check; past the bound the join shuffles."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def batch_keys(batch: DataFrame, key: str, small: bool | None = None) -> DataFrame:
+    """The keys of a batch for a semi-join: broadcast when the batch is small, else distinct.
+
+    Distinct keys keep a hot key from meeting itself in the shuffle.
+    """
+    keys = batch.select(key)
+    if is_small(keys) if small is None else small:
+        return F.broadcast(keys)
+    return keys.distinct()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.session import broadcast_if_small
 from corpusmill.sources.folders import child_folders, delete_file, exists
 
 DONE = "_SUCCESS"
@@ -72,7 +71,7 @@ class VersionedTable:
             return rows.select(*names)
         key_schema = T.StructType([self.schema[self.key]])
         removed = self._read_folders(f"{folder}/removed", removals, key_schema)
-        last = broadcast_if_small(removed.groupBy(self.key).agg(F.max("v").alias("removed_at")))
+        last = removed.groupBy(self.key).agg(F.max("v").alias("removed_at"))
         live = F.col("removed_at").isNull() | (F.col("v") >= F.col("removed_at"))
         return rows.join(last, self.key, "left").where(live).select(*names)
 
