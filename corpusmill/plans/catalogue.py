@@ -628,8 +628,9 @@ def ingest_files(spark, sf_dir):
     tb.write_record_tree(spark, sf_dir, root)
     store = CorpusStore(spark, fresh_path(spark, "store"))
     store.init()
-    jobs.import_files(store, scan_record_files(spark, root, "part-*"), "directory")
-    return store.read().select("id", "name", "description", "category", "content_hash")
+    result = jobs.import_files(store, scan_record_files(spark, root, "part-*"), "directory")
+    counts = [F.lit(result.counts[c]).cast("long").alias(c) for c in ("total", "added", "skipped_duplicate")]
+    return store.read().select("content_hash", "source", F.length("instructions").alias("body_chars"), *counts)
 
 
 @query

@@ -417,12 +417,10 @@ UNION ALL SELECT 'other', 'refused', n_vectors FROM n UNION ALL SELECT 'forced',
     # A French record's description is null, so the required-field gate turns it away.
     "ingest_files": _with(
         FILES,
-        f"""sound AS (SELECT *, CASE lang WHEN 'de' THEN 'SKILL' ELSE 'doc-' || doc_id END AS name, md5(body) AS h,
-  ['owner=org', 'repo=' || source, 'folder=doc-' || doc_id] AS place
-  FROM split WHERE front IS NOT NULL AND lang <> 'fr')
-SELECT {record_id("'community'", 'name', 'h')} AS id, name, lang || ' text from ' || source AS description,
-  'folder=doc-' || doc_id AS category, h AS content_hash FROM sound
-QUALIFY row_number() OVER (PARTITION BY h ORDER BY place) = 1""",
+        """parsed AS (SELECT *, md5(body) AS h FROM split WHERE front IS NOT NULL),
+counts AS (SELECT count(*) AS total, count(DISTINCT h) FILTER (lang <> 'fr') AS added FROM parsed)
+SELECT DISTINCT h AS content_hash, 'community' AS source, CAST(length(body) AS INT) AS body_chars,
+  total, added, total - added AS skipped_duplicate FROM parsed, counts WHERE lang <> 'fr'""",
     ),
     "continuous_ingest": _with(
         FILES, "SELECT DISTINCT md5(body) AS content_hash FROM split WHERE front IS NOT NULL AND lang <> 'fr'"

@@ -96,14 +96,11 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_record_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
-    """One text file per document below <owner>/<repo>/<name>."""
+    """One text file per document below <owner>/<repo>."""
     rows = documents(spark, sf_dir).select(
-        F.lit(OWNER).alias("owner"),
-        F.col("source").alias("repo"),
-        F.concat(F.lit("doc-"), "doc_id").alias("folder"),
-        record_text().alias("value"),
+        F.lit(OWNER).alias("owner"), F.col("source").alias("repo"), record_text().alias("value")
     )
-    rows.write.partitionBy("owner", "repo", "folder").text(root)
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("owner", "repo").text(root)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

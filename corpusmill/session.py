@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "corpusmill", **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Record files are small: thousands of them belong in one task, not the default few dozen.
+        "spark.sql.files.openCostInBytes": "65536",
         **conf,
     }
     for key, value in settings.items():
