@@ -41,7 +41,9 @@ def record_tokens(corpus: DataFrame) -> DataFrame:
     total = sum((F.size(c) for c in FIELDS), F.lit(0)).cast("long")
     rows = [F.struct(F.lit(i).alias("field"), F.col(c).alias("tokens")) for i, c in enumerate(FIELDS)]
     rows.append(F.struct(F.lit(-1).alias("field"), F.array(F.lit("")).alias("tokens")))
-    return split.select("id", total.alias("n_tokens"), F.explode(F.array(*rows)).alias("r")).select(
+    # The length is taken before the explode, which then carries no second copy of the tokens.
+    counted = split.withColumn("n_tokens", total)
+    return counted.select("id", "n_tokens", F.explode(F.array(*rows)).alias("r")).select(
         "id", "n_tokens", "r.field", "r.tokens"
     )
 

@@ -87,7 +87,9 @@ class VersionedTable:
         if base is None:
             raise FileNotFoundError(f"no complete table at {self.root}")
         folder = f"{self.root}/base={base}"
-        version = self._versions(base)[-1] + 1
+        # Numbers an unfinished version left behind are not used again.
+        taken = [*self._numbered(f"{folder}/rows", "v"), *self._numbered(f"{folder}/removed", "v")]
+        version = max(taken) + 1
         if removed is not None:
             removed.select(self.key).write.mode("overwrite").parquet(f"{folder}/removed/v={version}")
         self._write(rows, f"{folder}/rows/v={version}")

@@ -1,0 +1,106 @@
+import hashlib
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as tx
+from corpusmill.functions.identity import embedding_text, with_identity
+from corpusmill.functions.record_json import from_json_columns, to_json_columns
+from corpusmill.functions.vector import unit_query, unit_row
+from corpusmill.schema import conform, source_priority
+
+TEXTS = st.text(alphabet=st.sampled_from(list("-a: \n\t  é\x1c")), max_size=40)
+
+
+def plain_split(text):
+    s = text.strip()
+    if s[:3] != "---" or "---" not in s[3:]:
+        return None, None
+    front, _, body = s[3:].partition("---")
+    return front.strip(), body.strip()
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(TEXTS, min_size=200, max_size=200))
+def test_front_matter_matches_plain_python(spark, texts):
+    texts = [*texts, "", "---", "------", "--- a --- b", "---\nname: x\n---\nbody", "no front"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    stripped = tx.strip(F.col("t"))
+    found = frame.select("i", stripped, tx.front_matter(stripped), tx.front_matter_body(stripped)).collect()
+    for i, bare, front, body in found:
+        assert bare == texts[i].strip()
+        assert (front, body) == plain_split(texts[i])
+
+
+def test_identity_is_deterministic(spark):
+    rows = [("a", "d", "body é", "community"), ("b", "d", "", "anthropic")]
+    frame = with_identity(spark.createDataFrame(rows, "name string, description string, instructions string, source string"))
+    for row in frame.collect():
+        digest = hashlib.md5(row.instructions.encode()).hexdigest()
+        assert row.content_hash == digest
+        raw = f"{row.source}:{row.name}:{digest[:8]}"
+        assert row.id == hashlib.sha256(raw.encode()).hexdigest()[:16]
+
+
+def test_identity_keeps_given_values(spark):
+    frame = spark.createDataFrame(
+        [("n", "i", "community", "kept", "hash")], "name string, instructions string, source string, id string, content_hash string"
+    )
+    row = with_identity(frame).first()
+    assert (row.id, row.content_hash) == ("kept", "hash")
+
+
+def test_embedding_text_is_cut_and_drops_an_empty_body(spark):
+    rows = [("n", "d", "x" * 1000), ("n", "d", "")]
+    frame = spark.createDataFrame(rows, "name string, description string, instructions string")
+    texts = [r[0] for r in frame.select(embedding_text(F.col("name"), F.col("description"), F.col("instructions"))).collect()]
+    assert texts == ["n\nd\n" + "x" * 500, "n\nd"]
+
+
+def test_categories(spark):
+    paths = ["SKILL.md", "skills/a/SKILL.md", "skills/g/a/SKILL.md", "Document Skills/x/a/SKILL.md", "a/b/s1/SKILL.md"]
+    frame = spark.createDataFrame([(p,) for p in paths], "p string")
+    p = F.col("p")
+    found = [
+        tuple(r)
+        for r in frame.select(
+            tx.category_by_parent(p), tx.category_by_group(p), tx.category_by_grouping_level(p)
+        ).collect()
+    ]
+    assert found == [
+        ("", "", ""),
+        ("a", "a", ""),
+        ("a", "a", "g"),
+        ("a", "Document Skills", "x"),
+        ("s1", "s1", "b"),
+    ]
+
+
+def test_tags_and_tokens(spark):
+    frame = spark.createDataFrame([(" a , ,b,", "Node.js c++ ÉCOLE naïve_x 42")], "t string, x string")
+    row = frame.select(tx.split_tags(F.col("t")).alias("t"), tx.tokens(F.col("x")).alias("x")).first()
+    assert row.t == ["a", "b"]
+    assert row.x == ["node", "js", "c", "ecole", "naive", "x", "42"]
+
+
+def test_priorities_and_unknown_source(spark):
+    frame = spark.createDataFrame([(s,) for s in ("anthropic", "community", "langskills", "skillnet", "other")], "s string")
+    assert [r[0] for r in frame.select(source_priority(F.col("s"))).collect()] == [4, 3, 2, 1, 0]
+
+
+def test_zero_vectors_stay_zero(spark):
+    frame = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>")
+    rows = frame.select(unit_row(F.col("v")).alias("r"), unit_query(F.col("v")).alias("q")).collect()
+    assert rows[0].r == rows[0].q == [0.0, 0.0]
+    assert rows[1].r == rows[1].q == [0.6, 0.8]
+
+
+def test_json_round_trip_and_defaults(spark, make_corpus):
+    corpus = make_corpus([("n", "d", "i", "community", "c")]).withColumn("tags", F.array(F.lit("t,1"), F.lit('"q"')))
+    corpus = corpus.withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    back = from_json_columns(to_json_columns(corpus)).first()
+    assert back == corpus.first() or back.tags == ["t,1", '"q"'] and back.metadata == {"k": "v"}
+    bare = spark.createDataFrame([("n", "d", "i", "community")], "name string, description string, instructions string, source string")
+    row = conform(with_identity(bare)).first()
+    assert (row.tags, row.category, row.source_id, row.metadata) == ([], "", "", {})
