@@ -33,6 +33,8 @@ MODES = ("all", "any", "phrase", "prefix")
 LENGTH_UNIT = ""
 PREFIX = 3
 TIE_DIGITS = 9
+# As many literals as Parquet turns into one filter by default.
+PUSHED_GRAMS = 9
 
 
 def record_tokens(corpus: DataFrame) -> DataFrame:
@@ -228,12 +230,14 @@ def search_postings(
     exclude: Column | None = None,
     columns: Sequence[str] | None = None,
     limit: int = 10,
+    push_grams: bool = False,
 ) -> DataFrame:
     """Top hits per query, (query_id, rank, id, score), best BM25 score first, ties by id.
 
     `queries` holds query_id and query. `exclude` is a column of `queries` with words a hit must not
     hold; `columns` restricts matching, though record length always counts all columns. Modes: all
-    words, any word, the words as one phrase, every word as a prefix.
+    words, any word, the words as one phrase, every word as a prefix. `push_grams` hands the grams of
+    a few short queries to the scan of stored postings as a literal filter; they are sorted by gram.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -247,6 +251,10 @@ def search_postings(
         # Only the distinct word lengths come to the driver.
         lengths = [r["n"] for r in slots.where("prefix").select(F.length("gram").alias("n")).distinct().collect()]
         postings = _with_prefixes(postings, lengths)
+    elif push_grams:
+        asked_grams = [r["gram"] for r in slots.select("gram").distinct().limit(PUSHED_GRAMS + 1).collect()]
+        if len(asked_grams) <= PUSHED_GRAMS:
+            postings = postings.where(F.col("gram").isin(["", *asked_grams]))
     fields = None if columns is None else [FIELDS.index(c) for c in columns]
     hits = materialize(_matches(postings, slots, mode == "phrase", fields, small), "hits")
 

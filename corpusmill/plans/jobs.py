@@ -165,7 +165,7 @@ def keyword_hits(store: CorpusStore, queries: DataFrame, mode: str = "all", limi
     """Keyword hits in short form, from the stored postings when there are any."""
     records = store.read()
     if store.postings.exists():
-        hits = search_postings(store.postings.read(), queries, mode, limit=limit, **options)
+        hits = search_postings(store.postings.read(), queries, mode, limit=limit, push_grams=True, **options)
     else:
         hits = keyword_search(records, queries, mode, limit=limit, **options)
     return attach_records(hits, records, SUMMARY).select("query_id", "rank", *SUMMARY, "score")
