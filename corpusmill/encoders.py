@@ -67,6 +67,14 @@ def sentence_encoder(model: str) -> Encoder:
     return Encoder("sentence-transformers", model, load)
 
 
+def encoder_for(info: dict[str, str]) -> Encoder:
+    """The encoder an index description names."""
+    known = {"mock": hash_encoder, "sentence-transformers": sentence_encoder}
+    if info.get("backend") not in known:
+        raise ValueError(f"no encoder for {info}; pass one")
+    return known[info["backend"]](info["model"])
+
+
 def encode(df: DataFrame, text: Column, encoder: Encoder, into: str = "embedding") -> DataFrame:
     """Add unit vectors for a text column; only that column travels to Python, in Arrow batches."""
     factory = encoder.factory

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from dataclasses import replace as replace_fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.encoders import Encoder
+from corpusmill.encoders import Encoder, encoder_for
 from corpusmill.operators import dedup, drift, lookup, merge
 from corpusmill.operators.gates import admit, manifest_frame, require_known_sources, require_vetted
 from corpusmill.operators.keyword import attach_records, keyword_search, search_postings
@@ -23,10 +25,16 @@ FIELDS = [f.name for f in CORPUS.fields]
 
 @dataclass
 class MergeResult:
-    """`counts`: total, added, replaced, skipped_duplicate. `rejects`: ord, id, name, source, reason."""
+    """What a merge did.
+
+    `counts`: total, added, replaced, skipped_duplicate. `rejects`: ord, id, name, source, reason.
+    `accepted` are the records it took in, `displaced` the ids they replaced, None when nothing changed.
+    """
 
     counts: dict[str, int]
     rejects: DataFrame
+    accepted: DataFrame | None = None
+    displaced: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -53,26 +61,37 @@ def _merge_written(store: CorpusStore, batch: DataFrame) -> MergeResult:
     total = batch.count()
     counts["skipped_duplicate"] += total - counts["total"]
     counts["total"] = total
-    if counts["added"] or counts["replaced"]:
-        gone = merge.displaced(stored, outcomes) if counts["replaced"] else None
-        store.records.append(merge.accepted(sound, outcomes), gone)
-    return MergeResult(counts, rejects)
+    if not counts["added"] and not counts["replaced"]:
+        return MergeResult(counts, rejects)
+    taken = merge.accepted(sound, outcomes)
+    # Written before the store changes: `stored` is read from it.
+    gone = materialize(merge.displaced(stored, outcomes), "displaced") if counts["replaced"] else None
+    store.apply(taken, gone)
+    return MergeResult(counts, rejects, taken, gone)
+
+
+Importer = Callable[[DataFrame], DataFrame]
+
 
+def import_files(store: CorpusStore, files: DataFrame, importer: str | Importer, **options) -> MergeResult:
+    """Merge scanned record files; files that do not decode are rejected with their reason.
 
-def import_files(store: CorpusStore, files: DataFrame, importer: str, **options) -> MergeResult:
-    """Merge scanned record files; blocks that do not decode are rejected with their reason."""
-    parsed = materialize(parse_records(files, importer, **options), "parsed")
+    An importer of your own turns (path, location, text) into corpus rows with `ord`, unique and in
+    arrival order, and `error`, null for a sound row.
+    """
+    rows = importer(files) if callable(importer) else parse_records(files, importer, keep_malformed=True, **options)
+    parsed = materialize(rows, "parsed")
     broken = parsed.where("error IS NOT NULL").select(
         "ord", "id", "name", "source", F.concat(F.lit("front matter: "), "error").alias("reason")
     )
     result = _merge_written(store, parsed.where("error IS NULL").select(*FIELDS, "ord"))
-    return MergeResult(result.counts, result.rejects.unionByName(broken))
+    return replace_fields(result, rejects=result.rejects.unionByName(broken))
 
 
 def import_tree(
     store: CorpusStore,
     root: str,
-    importer: str,
+    importer: str | Importer,
     manifest: list[tuple[str, str, str]] | None = None,
     encoder: Encoder | None = None,
     **options,
@@ -103,6 +122,12 @@ def auto_index(store: CorpusStore, encoder: Encoder) -> str:
     return "updated" if counts["added"] or counts["removed"] else "current"
 
 
+def index_batch(store: CorpusStore, result: MergeResult, encoder: Encoder) -> None:
+    """Index just what one merge brought, at the cost of that batch, if there is an index."""
+    if result.changed() and store.index.exists():
+        store.index.apply(result.accepted, result.displaced, encoder)
+
+
 def sync_snapshot(store: CorpusStore, snapshot: DataFrame, replace: bool = False) -> MergeResult | None:
     """Take a published snapshot in: replace an absent or empty corpus, or on demand; else merge.
 
@@ -125,7 +150,7 @@ def dedup_store(store: CorpusStore) -> dict[str, int]:
     gone = materialize(dedup.losers(records), "losers")
     before, removed = records.count(), gone.count()
     if removed:
-        store.records.remove(gone)
+        store.remove(gone)
     return {"before": before, "after": before - removed, "removed": removed}
 
 
@@ -134,7 +159,7 @@ def delete_records(store: CorpusStore, doomed: DataFrame) -> int:
     gone = materialize(lookup.deleted_ids(store.read(), doomed), "deleted")
     count = gone.count()
     if count:
-        store.records.remove(gone)
+        store.remove(gone)
     return count
 
 
@@ -172,10 +197,14 @@ def keyword_hits(store: CorpusStore, queries: DataFrame, mode: str = "all", limi
 
 
 def search(
-    store: CorpusStore, queries: DataFrame, encoder: Encoder, k: int = 5, fallback: str | None = None
+    store: CorpusStore, queries: DataFrame, encoder: Encoder | None = None, k: int = 5, fallback: str | None = None
 ) -> DataFrame:
-    """Semantic hits in short form; without an index an error, or keyword hits on fallback="keyword"."""
+    """Semantic hits in short form; without an index an error, or keyword hits on fallback="keyword".
+
+    The encoder is by default the one the index was built with.
+    """
     if store.index.exists():
+        encoder = encoder or encoder_for(store.index.meta()["embedding"])
         store.index.require(encoder)
         return search_summaries(store.read(), store.index.read(), queries, encoder, k)
     if fallback != "keyword":

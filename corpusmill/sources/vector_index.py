@@ -97,9 +97,17 @@ class VectorIndex:
             self.vectors.append(encoded, gone if counts["removed"] else None)
         return counts
 
+    def apply(self, rows: DataFrame, removed: DataFrame | None, encoder: Encoder) -> None:
+        """Index one batch of records and take out ids, without looking at the rest of the corpus."""
+        self.require(encoder)
+        texts = embedded_texts(rows)
+        gone = texts.select("id") if removed is None else removed.select("id").unionByName(texts.select("id"))
+        self.vectors.append(encode(texts, F.col("text"), encoder), gone)
+
     def adopt(self, published: VectorIndex, encoder: Encoder) -> None:
-        """Take over a published index after checking that its encoder is the one asked for."""
+        """Take over a published index after checking that its encoder, if it names one, is the one asked for."""
         if not published.exists():
             raise FileNotFoundError(f"no published index at {published.root}")
-        published.require(encoder)
+        if published.meta()["embedding"]:
+            published.require(encoder)
         self.save(published.read(), encoder.info)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.encoders import Encoder
-from corpusmill.plans.jobs import auto_index, import_files
+from corpusmill.plans.jobs import Importer, import_files, index_batch
 from corpusmill.schema import RECORD_FILE
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.folders import qualified
@@ -17,7 +17,7 @@ def ingest_stream(
     store: CorpusStore,
     root: str,
     checkpoint: str,
-    importer: str = "directory",
+    importer: str | Importer = "directory",
     encoder: Encoder | None = None,
     max_files: int | None = None,
     pattern: str = RECORD_FILE,
@@ -26,7 +26,8 @@ def ingest_stream(
     """Merge every file not seen before, then stop; the checkpoint remembers which those are.
 
     The merge skips what the corpus already holds at equal priority, so a batch delivered twice
-    after a failure changes nothing.
+    after a failure changes nothing. Stored postings, and given an encoder an existing index, follow
+    each batch at the cost of that batch.
     """
     spark = store.spark
     base = qualified(spark, root)
@@ -38,8 +39,8 @@ def ingest_stream(
 
     def take(batch: DataFrame, _: int) -> None:
         result = import_files(store, batch, importer, **options)
-        if encoder is not None and result.changed():
-            auto_index(store, encoder)
+        if encoder is not None:
+            index_batch(store, result, encoder)
 
     return (
         located(files, base)

@@ -12,7 +12,7 @@ from corpusmill.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4"})
+    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "2"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.encoders import hash_encoder
+from corpusmill.functions.identity import with_identity
 from corpusmill.operators.gates import UnvettedRepositoryError
 from corpusmill.plans import jobs
+from corpusmill.schema import conform
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.records import parse_records, scan_record_files
 from corpusmill.sources.snapshots import read_snapshot, write_snapshot
@@ -100,7 +102,11 @@ def test_directory_layouts(spark, tmp_path, store):
     result = jobs.import_tree(store, str(root), "directory")
     assert names(store) == ["SKILL", "s1", "s2"]
     assert {r.category for r in store.read().collect()} == {"s1", "s 2+x%", "s3"}
-    assert [(r.name, r.reason) for r in result.rejects.collect()] == [("nul", "missing description")]
+    assert {(r.ord.replace("\x01", "/"), r.reason) for r in result.rejects.collect()} == {
+        ("null/SKILL.md", "missing description"),
+        ("bad/SKILL.md", "front matter: none"),
+        ("list/SKILL.md", "front matter: no mapping"),
+    }
     assert result.counts == {"total": 4, "added": 3, "replaced": 0, "skipped_duplicate": 1}
 
 
@@ -253,11 +259,36 @@ def test_postings_follow_the_records(spark, tree, store):
     assert found() == {(1, "deploy-docker")}
     record(tree / "late", "late", "holds xyz123")
     jobs.import_tree(store, str(tree), "directory")
-    assert store.update_postings() == {"added": 1, "removed": 0}
     assert found("phrase") == {(1, "deploy-docker"), (2, "late")}
+    assert store.update_postings() == {"added": 0, "removed": 0}
     jobs.delete_records(store, store.read().where("name = 'late'").select("id"))
-    assert store.update_postings() == {"added": 0, "removed": 1}
     assert found() == {(1, "deploy-docker")}
+    # Records written past the store's own methods are caught up with.
+    late = store.read().limit(1).withColumn("id", F.lit("by-hand")).withColumn("instructions", F.lit("xyz123"))
+    store.records.append(late)
+    assert store.update_postings() == {"added": 1, "removed": 0}
+    assert {q for q, _ in found()} == {1, 2}
+
+
+def test_stream_keeps_the_index_in_step(spark, tree, store, tmp_path, make_corpus):
+    store.records.append(make_corpus([("low", "d", "Body of write-tests", "skillnet")]))
+    jobs.build_or_update(store, ENCODER)
+    ingest_stream(store, str(tree), str(tmp_path / "p"), encoder=ENCODER, max_files=2).awaitTermination()
+    state = jobs.status(store).first()
+    assert (state.n_records, state.n_vectors, state.in_step) == (3, 3, True)
+    assert store.index.update(store.read(), ENCODER) == {"added": 0, "removed": 0}
+    queries = spark.createDataFrame([(1, "x")], "query_id long, query string")
+    assert jobs.search(store, queries, k=9).count() == 3  # the index names its own encoder
+
+
+def test_an_importer_of_your_own(spark, tree, store, make_corpus):
+    def whole_file(files):
+        rows = files.select(F.col("path").alias("ord"), F.col("path").alias("name"), F.col("text").alias("instructions"))
+        rows = rows.withColumn("description", F.lit("")).withColumn("source", F.lit("community"))
+        return conform(with_identity(rows)).join(rows.select("ord", "name"), "name").withColumn("error", F.lit(None).cast("string"))
+
+    assert jobs.import_tree(store, str(tree), whole_file).counts["added"] == 3
+    assert "skills/write-tests/SKILL.md" in names(store)
 
 
 def test_stream_equals_batch_and_repeats_nothing(spark, tree, store, tmp_path):
