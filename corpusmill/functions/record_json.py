@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.schema import conform
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
 def to_json_columns(corpus: DataFrame) -> DataFrame:

@@ -112,7 +112,8 @@ def record_json(spark, sf_dir):
     """Records to JSON columns, back, and out again."""
     restored = from_json_columns(to_json_columns(tb.corpus(spark, sf_dir).select(*FIELDS)))
     flat = to_json_columns(restored)
-    return flat.select("id", "tags", F.get_json_object("metadata", "$.chars").alias("chars"), "created_at")
+    created = F.unix_timestamp(F.to_timestamp("created_at")).alias("created_epoch")
+    return flat.select("id", "tags", F.get_json_object("metadata", "$.chars").alias("chars"), created)
 
 
 @query

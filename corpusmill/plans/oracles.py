@@ -188,7 +188,7 @@ FROM corpus WHERE CAST(substr(folder, 4) AS INT) < 15""",
     "record_json": _with(
         CORPUS,
         """SELECT id, '["' || lang || '","' || folder || '"]' AS tags, CAST(n_chars AS VARCHAR) AS chars,
-  '2024-01-01T00:00:00.000000Z' AS created_at FROM corpus""",
+  epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT AS created_epoch FROM corpus""",
     ),
     "record_documents": _with(CORPUS, "SELECT id, name, source, content_hash FROM corpus"),
     "reject_malformed": _with(FILES, "SELECT path FROM split WHERE front IS NULL"),

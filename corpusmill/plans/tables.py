@@ -45,7 +45,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")).alias("category"),
         F.array("lang", "source").alias("tags"),
         F.create_map(F.lit("lang"), F.col("lang"), F.lit("chars"), F.col("n_chars").cast("string")).alias("metadata"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
+        F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("created_at"),
     )
     return with_identity(rows)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.session import is_small
 from corpusmill.sources.folders import child_folders, delete_file, exists
 
 DONE = "_SUCCESS"
@@ -72,6 +73,9 @@ class VersionedTable:
         key_schema = T.StructType([self.schema[self.key]])
         removed = self._read_folders(f"{folder}/removed", removals, key_schema)
         last = removed.groupBy(self.key).agg(F.max("v").alias("removed_at"))
+        # Worth a look at the keys: without a broadcast every row would shuffle with its body.
+        if is_small(removed):
+            last = F.broadcast(last)
         live = F.col("removed_at").isNull() | (F.col("v") >= F.col("removed_at"))
         return rows.join(last, self.key, "left").where(live).select(*names)
 
