@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, packing, quality, simhash, token_counts, token_files, url_filter
+from corpusmill.llm import bpe, language, packing, quality, simhash, token_counts, token_files, toxicity, url_filter
 from corpusmill.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+def crc_mod(docs: DataFrame, n: int) -> Column:
+    """crc32 of the document id as text, modulo n."""
+    return F.crc32(docs["doc_id"].cast("string")) % n
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(docs, 3) == 1
+    model = language.learn(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(docs, 5) == 0
+    network = toxicity.learn(docs.where(~held_out), _table(spark, sf_dir, "labels"))
+    found = toxicity.judge(docs.select("doc_id", "text", held_out.alias("held_out")), network)
+    return found.select("doc_id", "held_out", "score", "predicted")
