@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, language, packing, quality, simhash, token_counts, token_files, toxicity, url_filter
+from corpusmill.llm import bpe, language, neighbours, packing, quality, simhash, token_counts, token_files, toxicity, url_filter
 from corpusmill.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = toxicity.learn(docs.where(~held_out), _table(spark, sf_dir, "labels"))
     found = toxicity.judge(docs.select("doc_id", "text", held_out.alias("held_out")), network)
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
