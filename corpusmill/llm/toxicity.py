@@ -25,7 +25,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 2_500, 4_000, 6
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS, WORD_SIZE, CHAR_SIZE = 1 << 13, 1 << 14, 8, 12
 HIDDEN, ATTENTION = 12, 12
-ROUNDS, BATCH, RATE, ROUND_STEPS = 6, 192, 0.01, 20
+ROUNDS, BATCH, RATE, ROUND_STEPS = 6, 192, 0.01, 12
 WINDOW_BLOCK = 2_048
 _WORD = re.compile(r"\w+")
 
