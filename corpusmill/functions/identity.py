@@ -20,9 +20,11 @@ def record_id(source: Column, name: Column, hashed: Column) -> Column:
     return F.substring(F.sha2(raw, 256), 1, ID_HEX_DIGITS)
 
 
-def embedding_text(name: Column, description: Column, instructions: Column) -> Column:
-    """Name, description and the opening of the body; an empty body adds no line."""
-    opening = F.when(instructions != "", F.substring(instructions, 1, EMBEDDED_BODY_CHARS))
+def embedding_text(
+    name: Column, description: Column, instructions: Column, body_chars: int | None = EMBEDDED_BODY_CHARS
+) -> Column:
+    """Name, description and the opening of the body, all of it with `body_chars=None`; an empty body adds no line."""
+    opening = F.when(instructions != "", instructions if body_chars is None else F.substring(instructions, 1, body_chars))
     return F.concat_ws("\n", name, description, opening)
 
 

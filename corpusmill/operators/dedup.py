@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.arrivals import winners
+from corpusmill.session import broadcast_if_small, materialize
 
 
 def keep_winners(records: DataFrame) -> DataFrame:
-    """The surviving records. `ord` is unique, so the join has no hot key."""
-    return records.join(winners(records).select("ord"), "ord", "left_semi")
+    """The surviving records. `ord` is unique, so the join has no hot key.
+
+    The losers are few as a rule: bodies stay where they are when the losers' keys fit a broadcast.
+    """
+    slim = materialize(records.select("ord", "content_hash", "source"), "arrivals")
+    lost = materialize(slim.select("ord").join(winners(slim).select("ord"), "ord", "left_anti"), "losers")
+    return records.join(broadcast_if_small(lost), "ord", "left_anti")
 
 
 def losers(records: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.schema import MANIFEST, REQUIRED, SOURCE_PRIORITY
-from corpusmill.session import batch_keys, broadcast_if_small, materialize
+from corpusmill.session import batch_keys, broadcast_if_small, fresh_path, materialize
+
+# Offenders an error message spells out; the written table has all.
+NAMED = 20
 
 
 class UnvettedRepositoryError(Exception):
@@ -26,15 +29,25 @@ def unknown_source() -> Column:
     return ~F.coalesce(F.col("source").isin(list(SOURCE_PRIORITY)), F.lit(False))
 
 
+def _refuse(found: DataFrame, name: str, error: type[Exception], what: str) -> None:
+    """Raise if there are rows. All of them are written; the message has their number, their place and the first."""
+    location = fresh_path(found.sparkSession, "violations")
+    found.write.parquet(location)
+    written = found.sparkSession.read.schema(found.schema).parquet(location)
+    count = written.count()
+    if count:
+        first = [str(r[name]) for r in written.select(name).orderBy(name).limit(NAMED).collect()]
+        more = "" if count <= NAMED else f", … ({count} in all)"
+        raise error(f"{what}: {', '.join(first)}{more}; all of them in {location}")
+
+
 def source_violations(records: DataFrame) -> DataFrame:
     """Counts per source outside the domain."""
     return records.where(unknown_source()).groupBy("source").agg(F.count("*").alias("n_records"))
 
 
 def require_known_sources(records: DataFrame) -> None:
-    bad = [str(r["source"]) for r in source_violations(records).orderBy("source").limit(20).collect()]
-    if bad:
-        raise UnknownSourceError("sources outside the domain: " + ", ".join(bad))
+    _refuse(source_violations(records), "source", UnknownSourceError, "sources outside the domain")
 
 
 def id_clashes(stored: DataFrame, batch: DataFrame, small_batch: bool | None = None) -> DataFrame:
@@ -59,6 +72,22 @@ def id_clashes(stored: DataFrame, batch: DataFrame, small_batch: bool | None = N
     return first.where("NOT held").join(contested, "id").where("content_hash <> owner").select("id", "content_hash")
 
 
+def one_per_record(records: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with one of each (id, content_hash), and how many others there were.
+
+    Only rows whose pair repeats are grouped; as a rule there are none.
+    """
+    pair = ["id", "content_hash"]
+    often = materialize(records.groupBy(*pair).count().where("count > 1"), "repeated")
+    others = often.agg(F.sum(F.col("count") - 1).alias("n")).first()["n"] or 0
+    if not others:
+        return records, 0
+    keys = broadcast_if_small(often.select(*pair))
+    row = F.struct(*records.columns)
+    again = records.join(keys, pair, "left_semi").groupBy(*pair).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return records.join(keys, pair, "left_anti").unionByName(again.select("row.*")), others
+
+
 def with_reject_reason(batch: DataFrame) -> DataFrame:
     """Adds `reason`: the gate a record fails, null for a sound one."""
     missing = missing_field()
@@ -90,6 +119,4 @@ def unvetted(slugs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def require_vetted(slugs: DataFrame, manifest: DataFrame) -> None:
     """Abort the whole batch, naming the offenders, before anything is written."""
-    bad = [r["slug"] for r in unvetted(slugs, manifest).orderBy("slug").collect()]
-    if bad:
-        raise UnvettedRepositoryError("repositories with no vetted licence: " + ", ".join(bad))
+    _refuse(unvetted(slugs, manifest), "slug", UnvettedRepositoryError, "repositories with no vetted licence")

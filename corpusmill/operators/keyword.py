@@ -9,8 +9,7 @@ Everything reads one flat table, `postings(gram, words, id, field, pos, n_tokens
 Matching joins postings with the query grams on `gram`, so only grams that are asked for leave the
 scan; the length rows fold into one row per map task. Record length and record count therefore come
 out of the same pass as the hits, and text is tokenised once per search. A stored postings table is
-partitioned by `words` and sorted by `gram` within files, so a search reads the row groups of its
-own grams.
+partitioned by `words` and a bucket of the gram, so a search reads the folders its own grams fall into.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ MODES = ("all", "any", "phrase", "prefix")
 LENGTH_UNIT = ""
 PREFIX = 3
 TIE_DIGITS = 9
-# As many literals as Parquet turns into one filter by default.
-PUSHED_GRAMS = 9
+# Stored postings are laid out by a bucket of their gram; a search reads the buckets of its own grams.
+BUCKETS = 64
 
 
 def record_tokens(corpus: DataFrame) -> DataFrame:
@@ -76,6 +75,10 @@ def build_postings(corpus: DataFrame, pairs: bool = True) -> DataFrame:
     )
 
 
+def gram_bucket() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
+
+
 def term_stats(postings: DataFrame) -> DataFrame:
     """Per term: records holding it and occurrences."""
     per_record = postings.where("words = 1").groupBy("gram", "id").agg(F.count("*").alias("n"))
@@ -236,8 +239,8 @@ def search_postings(
 
     `queries` holds query_id and query. `exclude` is a column of `queries` with words a hit must not
     hold; `columns` restricts matching, though record length always counts all columns. Modes: all
-    words, any word, the words as one phrase, every word as a prefix. `push_grams` hands the grams of
-    a few short queries to the scan of stored postings as a literal filter; they are sorted by gram.
+    words, any word, the words as one phrase, every word as a prefix. `push_grams` prunes stored postings, which
+    have a column `bucket`, to the buckets of the grams asked for, however many those are.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -252,9 +255,10 @@ def search_postings(
         lengths = [r["n"] for r in slots.where("prefix").select(F.length("gram").alias("n")).distinct().collect()]
         postings = _with_prefixes(postings, lengths)
     elif push_grams:
-        asked_grams = [r["gram"] for r in slots.select("gram").distinct().limit(PUSHED_GRAMS + 1).collect()]
-        if len(asked_grams) <= PUSHED_GRAMS:
-            postings = postings.where(F.col("gram").isin(["", *asked_grams]))
+        # At most as many rows as there are buckets.
+        wanted = slots.select("gram").unionByName(slots.sparkSession.createDataFrame([("",)], "gram string"))
+        buckets = [r["bucket"] for r in wanted.select(gram_bucket().alias("bucket")).distinct().collect()]
+        postings = postings.where(F.col("bucket").isin(buckets))
     fields = None if columns is None else [FIELDS.index(c) for c in columns]
     hits = materialize(_matches(postings, slots, mode == "phrase", fields, small), "hits")
 

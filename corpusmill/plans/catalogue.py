@@ -551,7 +551,7 @@ def status_report(spark, sf_dir):
     store = _store(spark, sf_dir, stored)
     jobs.build_or_update(store, ENCODER)
     jobs.merge_batch(store, batch.select(*FIELDS, "ord"))
-    return jobs.status(store).withColumn("categories", F.array_join("categories", ","))
+    return jobs.status(store)
 
 
 @query

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.encoders import Encoder, encoder_for
 from corpusmill.operators import dedup, drift, lookup, merge
-from corpusmill.operators.gates import admit, manifest_frame, require_known_sources, require_vetted
+from corpusmill.operators.gates import admit, manifest_frame, one_per_record, require_known_sources, require_vetted
 from corpusmill.operators.keyword import attach_records, keyword_search, search_postings
 from corpusmill.operators.retrieval import search_summaries
-from corpusmill.schema import CORPUS, DEFAULT_MANIFEST, SUMMARY
+from corpusmill.schema import CORPUS, DEFAULT_MANIFEST, SUMMARY, conform
 from corpusmill.session import is_small, materialize
 from corpusmill.sources.corpus_store import CorpusStore
-from corpusmill.sources.records import parse_records, present_slugs, scan_record_files
+from corpusmill.sources.records import parse_records, present_slugs, scan_record_files, with_slug
 from corpusmill.sources.vector_index import EncoderMismatchError, VectorIndex, published_location
 
 FIELDS = [f.name for f in CORPUS.fields]
@@ -77,8 +77,13 @@ def import_files(store: CorpusStore, files: DataFrame, importer: str | Importer,
     """Merge scanned record files; files that do not decode are rejected with their reason.
 
     An importer of your own turns (path, location, text) into corpus rows with `ord`, unique and in
-    arrival order, and `error`, null for a sound row.
+    arrival order, and `error`, null for a sound row. The curated importer refuses the files as a whole, before
+    anything is written, when a repository among them is not vetted.
     """
+    if importer == "curated":
+        if options.get("manifest") is None:
+            options["manifest"] = manifest_frame(store.spark, DEFAULT_MANIFEST)
+        require_vetted(with_slug(files).select("slug"), options["manifest"])
     rows = importer(files) if callable(importer) else parse_records(files, importer, keep_malformed=True, **options)
     parsed = materialize(rows, "parsed")
     broken = parsed.where("error IS NOT NULL").select(
@@ -119,29 +124,44 @@ def auto_index(store: CorpusStore, encoder: Encoder) -> str:
         counts = store.index.update(store.read(), encoder)
     except EncoderMismatchError:
         return "other encoder"
+    store.note_step("index")
     return "updated" if counts["added"] or counts["removed"] else "current"
 
 
-def index_batch(store: CorpusStore, result: MergeResult, encoder: Encoder) -> None:
-    """Index just what one merge brought, at the cost of that batch, if there is an index."""
-    if result.changed() and store.index.exists():
+def index_batch(store: CorpusStore, result: MergeResult, encoder: Encoder, in_step: bool) -> None:
+    """Index just what one merge brought, at the cost of that batch.
+
+    An index that was not in step before the merge is compared with the whole corpus instead.
+    """
+    if not in_step:
+        store.index.update(store.read(), encoder)
+    elif result.changed():
         store.index.apply(result.accepted, result.displaced, encoder)
+    store.note_step("index")
 
 
 def sync_snapshot(store: CorpusStore, snapshot: DataFrame, replace: bool = False) -> MergeResult | None:
     """Take a published snapshot in: replace an absent or empty corpus, or on demand; else merge.
 
-    An explicit replace also invalidates the index, which covered the old records.
+    An explicit replace also invalidates the index, which covered the old records. Equal rows enter once and count
+    as skipped; records that miss a required field, or whose id another body holds, stay out either way.
     """
     require_known_sources(snapshot)
+    snapshot, repeated = one_per_record(conform(snapshot))
+    # A snapshot has no order of its own; id and body give it one, and are unique by now.
+    snapshot = snapshot.withColumn("ord", F.concat_ws(":", "id", "content_hash"))
     if replace or not store.records.exists() or store.read().isEmpty():
         if replace:
             store.index.vectors.retire()
-        store.records.replace(snapshot)
+        none = store.spark.createDataFrame([], CORPUS)
+        sound, _ = admit(none, materialize(snapshot, "snapshot"))
+        store.records.replace(sound)
         store.rebuild_postings()
         return None
-    # A snapshot has no order of its own; its ids are unique and give it a stable one.
-    return merge_batch(store, snapshot.withColumn("ord", F.col("id")))
+    result = merge_batch(store, snapshot)
+    result.counts["total"] += repeated
+    result.counts["skipped_duplicate"] += repeated
+    return result
 
 
 def dedup_store(store: CorpusStore) -> dict[str, int]:
@@ -166,8 +186,11 @@ def delete_records(store: CorpusStore, doomed: DataFrame) -> int:
 def build_or_update(store: CorpusStore, encoder: Encoder, force: bool = False) -> dict[str, int]:
     """Update the index if there is one, build it otherwise; `force` rebuilds under any encoder."""
     if store.index.exists() and not force:
-        return store.index.update(store.read(), encoder)
-    return {"added": store.index.build(store.read(), encoder), "removed": 0}
+        counts = store.index.update(store.read(), encoder)
+    else:
+        counts = {"added": store.index.build(store.read(), encoder), "removed": 0}
+    store.note_step("index")
+    return counts
 
 
 def adopt_index(store: CorpusStore, published_root: str, encoder: Encoder) -> DataFrame:
@@ -178,18 +201,18 @@ def adopt_index(store: CorpusStore, published_root: str, encoder: Encoder) -> Da
 
 
 def status(store: CorpusStore) -> DataFrame:
-    """One row: records, vectors, drift and the categories in use."""
+    """One row: records, vectors, drift and the number of categories in use, which `lookup.categories` lists."""
     records = store.read()
     vectors = store.index.read() if store.index.exists() else store.spark.createDataFrame([], "id string")
-    labels = lookup.categories(records).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    labels = lookup.categories(records).agg(F.count("*").alias("n_categories"))
     # Two one-row frames.
     return drift.index_status(records, vectors).join(labels, F.lit(True))
 
 
 def keyword_hits(store: CorpusStore, queries: DataFrame, mode: str = "all", limit: int = 10, **options) -> DataFrame:
-    """Keyword hits in short form, from the stored postings when there are any."""
+    """Keyword hits in short form, from stored postings that cover the newest records, else from the records."""
     records = store.read()
-    if store.postings.exists():
+    if store.in_step("postings"):
         hits = search_postings(store.postings.read(), queries, mode, limit=limit, push_grams=True, **options)
     else:
         hits = keyword_search(records, queries, mode, limit=limit, **options)

@@ -65,8 +65,8 @@ merged AS (SELECT * FROM sequence
 MERGE_COUNTS = """count(*) AS total, count(*) FILTER (outcome = 'added') AS added,
   count(*) FILTER (outcome = 'replaced') AS replaced, count(*) FILTER (outcome = 'skipped') AS skipped_duplicate"""
 
-VECTORS = """vectors AS (SELECT c.id, e.embedding::DOUBLE[] AS embedding FROM embeddings e
-  JOIN corpus c ON c.doc_id = e.vec_id)"""
+VECTORS = """vectors AS (SELECT coalesce(c.id, 'vec-' || e.vec_id) AS id, e.embedding::DOUBLE[] AS embedding
+  FROM embeddings e LEFT JOIN corpus c ON c.doc_id = e.vec_id)"""
 CENTROIDS = """cells AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
   FROM embeddings),
 means AS (SELECT label, pos, avg(x) AS x FROM cells GROUP BY ALL),
@@ -351,7 +351,8 @@ FROM winners w FULL JOIN vectors v ON v.id = w.id""",
     "index_append": _with(
         CORPUS,
         VECTORS,
-        """SELECT id, CASE WHEN id IN (SELECT id FROM vectors) THEN 64 ELSE 128 END AS dim FROM corpus""",
+        """SELECT id, CAST(len(embedding) AS INT) AS dim FROM vectors UNION ALL
+SELECT id, 128 FROM corpus WHERE id NOT IN (SELECT id FROM vectors)""",
     ),
     "hash_encode": _with(CORPUS, "SELECT id, 128 AS dim, CAST(1 AS DOUBLE) AS norm FROM corpus"),
     "retrieve_texts": _with(
@@ -384,8 +385,7 @@ FROM everything, counts""",
   (SELECT count(*) FROM merged WHERE id NOT IN (SELECT id FROM stored)) AS n_missing,
   (SELECT count(*) FROM stored WHERE id NOT IN (SELECT id FROM merged)) AS n_stale,
   (SELECT count(*) FROM merged WHERE id NOT IN (SELECT id FROM stored)) = 0 AS in_step,
-  (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents WHERE lang <> 'en'))
-    AS categories""",
+  (SELECT count(DISTINCT lang) FROM documents WHERE lang <> 'en') AS n_categories""",
     ),
     "build_or_update": _with(
         CORPUS,

@@ -108,9 +108,13 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the documents they share a number with: (id, embedding)."""
+    """(id, embedding): vectors under the id of the document they share a number with, or one of their own.
+
+    The latter stand for vectors whose record is gone.
+    """
     ids = corpus(spark, sf_dir).select("id", F.col("doc_id").alias("vec_id"))
-    return embeddings(spark, sf_dir).join(ids, "vec_id").select("id", "embedding")
+    own = F.coalesce("id", F.concat(F.lit("vec-"), "vec_id")).alias("id")
+    return embeddings(spark, sf_dir).join(ids, "vec_id", "left").select(own, "embedding")
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

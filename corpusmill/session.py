@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# What Parquet writers put into one row group by default; a scan cannot split it.
+ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
-def build_session(master: str | None = None, app: str = "corpusmill", **conf: str) -> SparkSession:
-    """A session with adaptive execution on; cluster settings come from spark-submit."""
+def build_session(
+    master: str | None = None, app: str = "corpusmill", shared_folder: str | None = None, **conf: str
+) -> SparkSession:
+    """A session with adaptive execution on; cluster settings come from spark-submit.
+
+    `shared_folder` becomes spark.checkpoint.dir, where written intermediates go.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -26,6 +33,8 @@ def build_session(master: str | None = None, app: str = "corpusmill", **conf: st
         "spark.sql.files.openCostInBytes": "65536",
         **conf,
     }
+    if shared_folder:
+        settings["spark.checkpoint.dir"] = shared_folder
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -60,8 +69,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a frame fits a broadcast, from its row count and the bytes of its text and arrays.
 
-    It reads the frame, so ask it of inputs and written tables, not of long computations.
+    Counts and sums combine to one row per map task. It reads the frame, so ask it of inputs and written tables, not
+    of long computations.
     """
+    n_rows, n_bytes = measured(df)
+    return n_rows <= max_rows and n_bytes <= BROADCAST_BYTES
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows of a frame and roughly their bytes in memory."""
     width = F.lit(8 * len(df.columns))
     for name, kind in df.dtypes:
         if kind == "string":
@@ -70,8 +86,8 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
             width = width + 8 * F.greatest(F.size(name), F.lit(0))
         elif kind.startswith(("map", "struct")):
             width = width + F.octet_length(F.to_json(name))
-    size = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
-    return size["n"] <= max_rows and (size["b"] or 0) <= BROADCAST_BYTES
+    size = df.agg(F.count("*").alias("n"), F.sum(width).alias("b")).first()
+    return size["n"], size["b"] or 0
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -91,6 +107,10 @@ def batch_keys(batch: DataFrame, key: str, small: bool | None = None) -> DataFra
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split an input of fewer files than cores over all cores; larger inputs stay as they are."""
+    """Deal the rows of a file with fewer row groups than cores over all cores; what has more stays as it is.
+
+    The row groups that a scan can share out are bounded by its bytes, so this never shuffles a large input.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df

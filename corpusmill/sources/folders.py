@@ -25,6 +25,11 @@ def child_folders(spark: SparkSession, location: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(path) if s.isDirectory())
 
 
+def make_folder(spark: SparkSession, location: str) -> None:
+    files, path = _path(spark, location)
+    files.mkdirs(path)
+
+
 def delete_file(spark: SparkSession, location: str) -> None:
     files, path = _path(spark, location)
     files.delete(path, False)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.encoders import Encoder, encode
-from corpusmill.functions.identity import embedding_text
+from corpusmill.functions.identity import EMBEDDED_BODY_CHARS, embedding_text
 from corpusmill.schema import INDEX_META, VECTORS
 from corpusmill.session import materialize
 from corpusmill.sources.folders import exists
@@ -26,9 +26,9 @@ def published_location(root: str, backend: str, model: str) -> str:
     return f"{root.rstrip('/')}/{backend}/{model}"
 
 
-def embedded_texts(corpus: DataFrame) -> DataFrame:
-    """(id, text, text_hash): what each record's vector is computed from."""
-    text = embedding_text(F.col("name"), F.col("description"), F.col("instructions"))
+def embedded_texts(corpus: DataFrame, body_chars: int | None = EMBEDDED_BODY_CHARS) -> DataFrame:
+    """(id, text, text_hash): what each record's vector is computed from; `body_chars=None` takes whole bodies."""
+    text = embedding_text(F.col("name"), F.col("description"), F.col("instructions"), body_chars)
     return corpus.select("id", text.alias("text")).withColumn("text_hash", F.md5("text"))
 
 
@@ -66,9 +66,24 @@ class VectorIndex:
         if shape["n_vectors"] and not shape["consistent"]:
             self.vectors.retire()
             raise DimensionError(f"vector lengths run from {shape['min_dim']} to {shape['max_dim']}")
-        meta = self.spark.createDataFrame([(shape["max_dim"], info)], INDEX_META)
+        self._describe(shape["max_dim"], info)
+
+    def _describe(self, dimension: int | None, info: dict[str, str] | None) -> None:
+        meta = self.spark.createDataFrame([(dimension, info)], INDEX_META)
         meta.coalesce(1).write.mode("overwrite").json(self._meta_location())
 
+    def append(self, vectors: DataFrame, removed: DataFrame | None = None) -> None:
+        """Add vectors of the index's dimension, which the first ones of an empty index set, and take out ids."""
+        vectors = materialize(vectors, "encoded")
+        shape, held = dimension_report(vectors).first(), self.meta()
+        if shape["n_vectors"]:
+            expected = held["dimension"] or shape["max_dim"]
+            if not shape["consistent"] or shape["max_dim"] != expected:
+                raise DimensionError(f"vector lengths run from {shape['min_dim']} to {shape['max_dim']}, not {expected}")
+            if held["dimension"] is None:
+                self._describe(expected, held["embedding"] or None)
+        self.vectors.append(vectors, removed)
+
     def require(self, encoder: Encoder) -> None:
         held = self.meta()["embedding"]
         if held != encoder.info:
@@ -94,7 +109,7 @@ class VectorIndex:
         counts = {"added": fresh.count(), "removed": gone.count()}
         if counts["added"] or counts["removed"]:
             encoded = encode(fresh, F.col("text"), encoder)
-            self.vectors.append(encoded, gone if counts["removed"] else None)
+            self.append(encoded, gone if counts["removed"] else None)
         return counts
 
     def apply(self, rows: DataFrame, removed: DataFrame | None, encoder: Encoder) -> None:
@@ -102,7 +117,7 @@ class VectorIndex:
         self.require(encoder)
         texts = embedded_texts(rows)
         gone = texts.select("id") if removed is None else removed.select("id").unionByName(texts.select("id"))
-        self.vectors.append(encode(texts, F.col("text"), encoder), gone)
+        self.append(encode(texts, F.col("text"), encoder), gone)
 
     def adopt(self, published: VectorIndex, encoder: Encoder) -> None:
         """Take over a published index after checking that its encoder, if it names one, is the one asked for."""

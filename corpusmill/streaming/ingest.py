@@ -26,8 +26,9 @@ def ingest_stream(
     """Merge every file not seen before, then stop; the checkpoint remembers which those are.
 
     The merge skips what the corpus already holds at equal priority, so a batch delivered twice
-    after a failure changes nothing. Stored postings, and given an encoder an existing index, follow
-    each batch at the cost of that batch.
+    after a failure changes no record. Stored postings, and given an encoder an existing index, follow
+    each batch at the cost of that batch; where a batch died before they did, the next one brings them in step in
+    full. The curated importer's licence gate and the encoder are checked before a batch writes anything.
     """
     spark = store.spark
     base = qualified(spark, root)
@@ -38,9 +39,15 @@ def ingest_stream(
     files = reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
 
     def take(batch: DataFrame, _: int) -> None:
+        follows = encoder is not None and store.index.exists()
+        if follows:
+            store.index.require(encoder)
+        in_step = store.in_step("index")
         result = import_files(store, batch, importer, **options)
-        if encoder is not None:
-            index_batch(store, result, encoder)
+        if store.postings.exists() and not store.in_step("postings"):
+            store.update_postings()
+        if follows:
+            index_batch(store, result, encoder, in_step)
 
     return (
         located(files, base)
