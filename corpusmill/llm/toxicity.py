@@ -26,7 +26,8 @@ WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS, WORD_SIZE, CHAR_SIZE = 1 << 13, 1 << 14, 8, 12
 HIDDEN, ATTENTION = 12, 12
 ROUNDS, BATCH, RATE, ROUND_STEPS = 6, 192, 0.01, 12
-WINDOW_BLOCK = 2_048
+#: Windows and words that are worked on at once, and bytes of text: these bound a task's memory.
+WINDOW_BLOCK, GRAM_BLOCK, SLICE_BYTES = 2_048, 4_096, 1 << 20
 _WORD = re.compile(r"\w+")
 
 
@@ -113,9 +114,12 @@ class Network:
     def embed(self, words: Words) -> np.ndarray:
         p = self.p
         chars = np.zeros((len(words.bucket), CHAR_SIZE), np.float32)
-        if len(words.gram):
-            heads = np.flatnonzero(np.concatenate(([True], words.gram_word[1:] != words.gram_word[:-1])))
-            chars[words.gram_word[heads]] = np.add.reduceat(p["char"][words.gram], heads, axis=0)
+        heads = np.flatnonzero(np.diff(words.gram_word, prepend=-1))
+        for lo in range(0, len(heads), GRAM_BLOCK):
+            first = heads[lo : lo + GRAM_BLOCK]
+            end = heads[lo + GRAM_BLOCK] if lo + GRAM_BLOCK < len(heads) else len(words.gram)
+            sums = np.add.reduceat(p["char"][words.gram[first[0] : end]], first - first[0], axis=0)
+            chars[words.gram_word[first]] = sums
         return np.concatenate((p["word"][words.bucket], chars / words.n_grams[:, None].astype(np.float32)), axis=1)
 
     def run(self, gates: np.ndarray, mask: np.ndarray, trace: list | None = None):
@@ -335,4 +339,4 @@ def judge(docs: DataFrame, network: Network, text_col: str = "text") -> DataFram
         score = network.score(texts.to_pylist())
         return [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))]
 
-    return with_columns(docs, text_col, {"score": "double", "predicted": "integer"}, compute)
+    return with_columns(docs, text_col, {"score": "double", "predicted": "integer"}, compute, SLICE_BYTES)
