@@ -25,6 +25,8 @@ from corpusmill.session import materialize
 SEQUENCE = 2_048
 CLASSES = 256
 GAP = 1e-4
+#: Bytes of text that a task works on at once; this bounds its memory.
+SLICE_BYTES = 2 << 20
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, sequence: int, id_col: str, text_col: str) -> DataFrame:
@@ -34,7 +36,7 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, sequence: int, id_col: st
         encoder = pieces.kept("library", path, pieces.library_encoder)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
-            for lo, texts in pieces.slices(batch.column(1)):
+            for lo, texts in pieces.slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = pieces.with_end(*encoder.ids(texts), end_id)
                 sizes = np.diff(offsets)
                 n = -(-sizes // sequence)
@@ -45,6 +47,8 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, sequence: int, id_col: st
                 crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
                 doc = batch.column(0).slice(lo, len(texts)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int64()) for c in (start, length, crc, sizes[row]))], names)
+        # Workers outlive tasks; later stages need the memory.
+        encoder.clear()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

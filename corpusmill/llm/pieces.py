@@ -57,9 +57,10 @@ class PieceIds:
 
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = CACHE_PIECES):
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all pieces."""
         self.slot: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -74,7 +75,7 @@ class PieceIds:
         get = self.slot.get
         new = [p for p in pieces if get(p) is None]
         if new and len(self.slot) + len(new) > self.limit:
-            self._clear()
+            self.clear()
             get, new = self.slot.get, pieces
         if new:
             found = self.encode(new)
