@@ -27,7 +27,7 @@ def source_number() -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return spread(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def write_record_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "embeddings"))
+    return spread(table(spark, sf_dir, "embeddings"), f"{sf_dir}/embeddings.parquet")
 
 
 def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

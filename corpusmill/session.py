@@ -106,11 +106,13 @@ def batch_keys(batch: DataFrame, key: str, small: bool | None = None) -> DataFra
     return keys.distinct()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a file with fewer row groups than cores over all cores; what has more stays as it is.
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Deal the rows of the files at `path` over all cores when they have fewer row groups than cores.
 
-    The row groups that a scan can share out are bounded by its bytes, so this never shuffles a large input.
+    A scan shares out row groups, and their number is bounded by the bytes of the files, which a listing tells without
+    reading them. So this never shuffles a large input, and rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     return df.repartition(cores) if size < cores * ROW_GROUP_BYTES else df

@@ -4,6 +4,8 @@ import pytest
 import corpusmill.session as session
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import TABLES, rows
+from corpusmill.plans.catalogue import QUERIES
+from corpusmill.plans.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -14,8 +16,9 @@ SAMPLE = [
 ]
 
 
-def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+def test_every_catalogue_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
@@ -41,6 +44,17 @@ def test_size_checks(spark):
     assert not session.is_small(frame, max_rows=99)
 
 
+def test_spread_deals_small_files_over_all_cores(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(100).coalesce(1).write.parquet(path)
+    frame = spark.read.parquet(path)
+    dealt = session.spread(frame, path)
+    assert dealt is not frame
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(100))
+    monkeypatch.setattr(session, "ROW_GROUP_BYTES", 1)
+    assert session.spread(frame, path) is frame
+
+
 def test_wide_rows_are_not_small(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_BYTES", 1000)
     frame = spark.range(10).selectExpr("repeat('x', 1000) AS t")
