@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, language, neighbours, packing, quality, simhash, token_counts, token_files, toxicity, url_filter
+from corpusmill.llm import (
+    bpe,
+    exact_dedup,
+    language,
+    neighbours,
+    packing,
+    periods,
+    phrases,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from corpusmill.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +147,76 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@_query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), min_count=100, top=2_000)
+
+
+ORACLES["op11_phrases"] = r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m)),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+found AS (SELECT * FROM f WHERE m > 1),
+open_ends AS (SELECT * FROM found c WHERE NOT EXISTS (SELECT 1 FROM found d WHERE d.lang = c.lang AND d.m > c.m
+  AND 100 * d.f >= 100 * c.f AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM open_ends),
+scores AS (SELECT c.lang, c.phrase, c.a, c.k, p.f AS l, q.f AS r, t.n,
+    CAST(1000::HUGEINT * c.a * t.n // (p.f::HUGEINT * q.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals t USING (lang)
+  JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(c.ws[c.k + 1:], ' ')),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score,
+  CAST(k AS INT) AS cut FROM least QUALIFY rank <= 2000
+"""
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten made periodic from some word on, as the contract of op12 says; a null id changes nothing."""
+    if doc_id is None or not words:
+        return words
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    cycle = words[a : a + p]
+    return words[:a] + [cycle[i % p] for i in range(n - a)]
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_table(spark, sf_dir, "documents"), words_of=planted)
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # Runs come by start and period, so at equal exponents the first one stays.
+    best = F.reduce("runs", none, lambda b, r: F.when(b.isNull() | (r.length * b.period > b.length * r.period), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+@_query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+ORACLES["op13_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
