@@ -77,23 +77,21 @@ class Words:
         """The phrases of ``size`` words at some positions."""
         return pc.binary_join_element_wise(*(self.spelt.take(pa.array(self.code[at + j])) for j in range(size)), SPACE)
 
-    def known(self, words: dict[str, pa.Array]) -> np.ndarray:
-        """Whether each word is in the list of its language."""
-        table = [np.asarray(pc.is_in(self.spelt, value_set=words.get(name, pa.array([], pa.large_string())))) for name in self.languages.to_pylist()]
-        return np.stack(table)[self.lang, self.code] if table else np.zeros(0, bool)
-
-    def known_pairs(self, pairs: dict[str, pa.Array]) -> np.ndarray:
-        """Whether each word and the next, if they stand in one piece, are in the list of their language."""
-        at = np.flatnonzero(self.linked)
-        out = np.zeros(len(self.code), bool)
-        _, first, back = np.unique((self.lang * len(self.spelt) + self.code)[at], return_index=True, return_inverse=True)
-        _, first, back = np.unique(back * len(self.spelt) + self.code[at + 1], return_index=True, return_inverse=True)
-        held, spelt, lang = np.zeros(len(first), bool), self.grams(at[first], 2), self.lang[at[first]]
+    def numbers(self, words: dict[str, tuple[int, pa.Array]]) -> np.ndarray:
+        """The number of each word in the list of its language, -1 where it has none."""
+        table = np.full((len(self.languages), len(self.spelt)), -1, np.int64)
         for k, name in enumerate(self.languages.to_pylist()):
-            mine = np.flatnonzero(lang == k)
-            held[mine] = np.asarray(pc.is_in(spelt.take(pa.array(mine)), value_set=pairs.get(name, pa.array([], pa.large_string()))))
-        out[at] = held[back]
-        return out
+            if name in words:
+                first, spelt = words[name]
+                at = pc.fill_null(pc.index_in(self.spelt, value_set=spelt), -1).to_numpy(zero_copy_only=False)
+                table[k] = np.where(at < 0, -1, first + at)
+        return table[self.lang, self.code] if len(self.code) else np.zeros(0, np.int64)
+
+    def pairs(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, key) of the words that stand with the next one in a piece, both of them numbered."""
+        at = np.flatnonzero(self.linked)
+        at = at[(number[at] >= 0) & (number[at + 1] >= 0)]
+        return at, number[at] << 32 | number[at + 1]
 
     def counted(self, at: np.ndarray, room: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(positions, size, counts) of the distinct grams at some positions, each as long as its room allows."""
@@ -115,30 +113,49 @@ class Words:
         return pa.RecordBatch.from_arrays(columns, FIELDS)
 
 
-def _grams(docs: DataFrame, longest: int, words=None, pairs=None, only_full: bool = False) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for batch in batches:
+        for lo, texts in pieces.slices(batch.column(1), SLICE_BYTES):
+            found = Words(batch.column(0).slice(lo, len(texts)), texts)
+            if len(found.code):
+                yield found
+
+
+def _pairs(docs: DataFrame, words) -> DataFrame:
+    """(pair, n): counts of neighbouring words of a broadcast list, by their two numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _slices(batches):
+            pair, n = np.unique(found.pairs(found.numbers(words.value))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
+
+    rows = docs.select("lang", "text").mapInArrow(run, "pair long, n long")
+    return rows.groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _grams(docs: DataFrame, longest: int, words=None, pairs=None) -> DataFrame:
     """Grams of ``longest`` words, and shorter ones where a piece ends, with their counts in a slice of texts.
 
     Words outside ``words`` are left out, and pieces are broken where a pair is not in ``pairs``. Both are broadcasts, or None.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in pieces.slices(batch.column(1), SLICE_BYTES):
-                found = Words(batch.column(0).slice(lo, len(texts)), texts)
-                if not len(found.code):
-                    continue
-                keep = np.ones(len(found.code), bool)
-                if words is not None:
-                    keep = found.known(words.value)
-                    found.linked &= keep & np.concatenate((keep[1:], [False]))
+        for found in _slices(batches):
+            here = np.arange(len(found.code))
+            linked, at = found.linked, here
+            if words is not None:
+                number = found.numbers(words.value)
+                at = np.flatnonzero(number >= 0)
+                joined, pair = found.pairs(number)
                 if pairs is not None:
-                    found.linked &= found.known_pairs(pairs.value)
-                stops = np.append(np.flatnonzero(~found.linked) + 1, len(keep))
-                here = np.arange(len(keep))
-                room = stops[np.searchsorted(stops, here, side="right")] - here
-                at = np.flatnonzero(keep & (room >= longest) if only_full else keep)
-                for row in found.counted(at, room, longest):
-                    yield found.rows(*row)
+                    held = pairs.value
+                    joined = joined[held[np.minimum(np.searchsorted(held, pair), len(held) - 1)] == pair] if len(held) else joined[:0]
+                linked = np.zeros(len(here), bool)
+                linked[joined] = True
+            stops = np.flatnonzero(~linked) + 1
+            room = stops[np.searchsorted(stops, here, side="right")] - here
+            for row in found.counted(at, room, longest):
+                yield found.rows(*row)
 
     return docs.select("lang", "text").mapInArrow(run, SCHEMA)
 
@@ -148,16 +165,26 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
-def _lists(frequent: DataFrame):
-    """The phrases of a written table by language, handed to all tasks; None where they are too large for that."""
+def _word_lists(frequent: DataFrame):
+    """The words of a written table by language, numbered through, for all tasks; None where they are too many for that."""
     if not is_small(frequent):
         return None
     table = frequent.select("lang", "phrase").toArrow()
-    names, phrases = np.array(table.column("lang").to_pylist(), object), table.column("phrase").combine_chunks().cast(pa.large_string())
-    lists = {name: phrases.filter(pa.array(names == name)) for name in set(names.tolist())}
+    names, words = np.array(table.column("lang").to_pylist(), object), table.column("phrase").combine_chunks().cast(pa.large_string())
+    lists, first = {}, 0
+    for name in sorted(set(names.tolist())):
+        mine = words.filter(pa.array(names == name))
+        lists[name], first = (first, mine), first + len(mine)
     return frequent.sparkSession.sparkContext.broadcast(lists)
 
 
+def _pair_list(frequent: DataFrame):
+    """The sorted pairs of a written table for all tasks; None where they are too many for that."""
+    if not is_small(frequent):
+        return None
+    return frequent.sparkSession.sparkContext.broadcast(np.sort(frequent.select("pair").toArrow().column(0).to_numpy()))
+
+
 def _first(phrase: Column, n: Column) -> Column:
     """The first n words of a phrase, or the last ones for a negative n."""
     return F.call_function("substring_index", phrase, F.lit(" "), n)
@@ -205,10 +232,10 @@ def collocations(
     spelt = materialize(_summed(_grams(slim, 1)), "words")
     totals = spelt.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = F.col("n") >= min_count
-    words = _lists(materialize(spelt.where(frequent), "frequent-words"))
+    words = _word_lists(materialize(spelt.where(frequent), "frequent-words"))
     pairs = None
     if words is not None:
-        pairs = _lists(materialize(_summed(_grams(slim, 2, words, only_full=True)).where(frequent), "frequent-pairs"))
+        pairs = _pair_list(materialize(_pairs(slim, words).where(frequent), "frequent-pairs"))
     edges = _summed(_grams(slim, longest, words, pairs))
     # The flow out of the node of each shorter phrase, and the pieces that end with it.
     heads = [F.when(F.col("size") >= k, F.struct(_first(F.col("phrase"), F.lit(k)).alias("phrase"), F.lit(k).alias("size"))) for k in range(1, longest + 1)]
