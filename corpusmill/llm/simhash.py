@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import star_components
-from corpusmill.session import materialize
+from corpusmill.session import broadcast_if_small, materialize
 
 SEED = 42
 GROUP_ROWS = 16_384
@@ -256,14 +256,14 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str =
     Rows that repeat that id count as copies of it: one of them stays, the first by the hash of its columns.
     Rows of null id cannot be named as members and all stay.
     """
-    found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
-    winners = materialize(found.where(F.col("id") == F.col("component")).groupBy("id").count(), "winners")
-    key = F.col("id").alias(id_col)
-    kept = docs.join(winners.where("count = 1").select(key), id_col, "left_semi").select(*docs.columns)
-    kept = kept.unionAll(docs.where(F.col(id_col).isNull()))
-    twice = winners.where("count > 1")
+    found = near_duplicates(docs, shingle, max_bits, id_col, text_col).where("id IS NOT NULL")
+    stays = F.count_if(F.col("id") == F.col("component")).alias("n")
+    fates = materialize(found.groupBy(F.col("id").alias(id_col)).agg(stays).where("n <> 1"), "fates")
+    # Those that go are few beside those that stay: texts stay where they are while the ids to drop fit a broadcast.
+    kept = docs.join(broadcast_if_small(fates.select(id_col)), id_col, "left_anti").select(*docs.columns)
+    twice = fates.where("n > 1").select(id_col)
     if twice.isEmpty():
         return kept
-    again = docs.join(twice.select(key), id_col, "left_semi")
+    again = docs.join(broadcast_if_small(twice), id_col, "left_semi")
     row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
     return kept.unionAll(again.groupBy(id_col).agg(row).select("_row.*"))
