@@ -8,8 +8,9 @@ Everything reads one flat table, `postings(gram, words, id, field, pos, n_tokens
 
 Matching joins postings with the query grams on `gram`, so only grams that are asked for leave the
 scan; the length rows fold into one row per map task. Record length and record count therefore come
-out of the same pass as the hits, and text is tokenised once per search. A stored postings table is
-partitioned by `words` and a bucket of the gram, so a search reads the folders its own grams fall into.
+out of the same pass as the hits, and text is tokenised once per search. A prefix stands for a range of the sorted
+dictionary of terms, see `terms`. A stored postings table is partitioned by `words` and a bucket of the gram, so a
+search reads the folders its own grams fall into. Which records are scored is up to `bounded_topk`.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
+from corpusmill.operators import bounded_topk
+from corpusmill.operators.terms import distinct_terms, prefix_terms
 from corpusmill.session import broadcast_if_small, is_small, materialize
 
 # The indexed columns, BM25 constants and the floor under the inverse frequency.
@@ -29,8 +32,7 @@ B = 0.75
 IDF_FLOOR = 1e-6
 
 MODES = ("all", "any", "phrase", "prefix")
-LENGTH_UNIT = ""
-PREFIX = 3
+LENGTH_UNIT = -1
 TIE_DIGITS = 9
 # Stored postings are laid out by a bucket of their gram; a search reads the buckets of its own grams.
 BUCKETS = 64
@@ -123,45 +125,33 @@ def _query_units(queries: DataFrame, mode: str, exclude: Column | None) -> DataF
     text = F.when(F.size("grams") > 1, F.concat(F.lit("#"), F.md5(joined))).otherwise(
         F.concat(joined, F.when(F.col("prefix"), F.lit("*")).otherwise(F.lit("")))
     )
-    return (
-        units.withColumn("unit", text)
-        .groupBy("query_id", "unit", "grams", "prefix", "negated")
-        .agg(F.count("*").alias("weight"))
-    )
+    asked = units.withColumn("name", text).groupBy("query_id", "name", "grams", "prefix", "negated")
+    asked = materialize(asked.agg(F.count("*").alias("weight")), "asked")
+    # Units are numbered when written, so that every later step reads the same numbers.
+    names = materialize(asked.select("name").distinct().withColumn("unit", F.monotonically_increasing_id()), "units")
+    return materialize(asked.join(names, "name").drop("name"), "asked-units")
 
 
 def _unit_slots(units: DataFrame) -> DataFrame:
-    """(unit, prefix, gram, words, offset, n_slots): the grams a unit is recognised by.
+    """(unit, gram, words, offset, n_slots): the grams a unit is recognised by.
 
     A phrase of n words is covered by the pairs at 0, 2, 4, … and the pair ending the phrase.
     """
     size = F.size("grams")
     last = F.greatest(size - 2, F.lit(0))
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(2)), F.array(last)))
-    placed = units.select(
-        "unit", "prefix", "grams", F.size(starts).alias("n_slots"), F.explode(starts).alias("offset")
-    )
+    placed = units.select("unit", "grams", F.size(starts).alias("n_slots"), F.explode(starts).alias("offset"))
     span = F.least(F.lit(2), F.size("grams"))
     gram = F.concat_ws(" ", F.slice("grams", F.col("offset") + 1, span))
-    words = F.when(F.col("prefix"), F.lit(PREFIX)).otherwise(span)
-    return placed.select("unit", "prefix", gram.alias("gram"), words.alias("words"), "offset", "n_slots")
+    return placed.select("unit", gram.alias("gram"), span.alias("words"), "offset", "n_slots")
 
 
-def _with_prefixes(postings: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add, for each token, its prefixes of the lengths asked for, as rows with words = 3."""
-    own = F.struct("gram", "words")
-    cuts = [
-        F.when(
-            (F.col("words") == 1) & (F.length("gram") >= n),
-            F.struct(F.substring("gram", 1, n).alias("gram"), F.lit(PREFIX).alias("words")),
-        )
-        for n in lengths
-    ]
-    return (
-        postings.where("words < 2")
-        .withColumn("g", F.explode(F.array_compact(F.array(own, *cuts))))
-        .select("g.gram", "g.words", "id", "field", "pos", "n_tokens")
-    )
+def _prefix_slots(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """The slots of prefixes: one for every term that a unit begins."""
+    wanted = units.select("unit", F.element_at("grams", 1).alias("prefix"))
+    found = prefix_terms(terms, wanted.select("prefix").distinct())
+    slots = found.join(wanted, "prefix").select("unit", F.col("term").alias("gram"), F.lit(1).alias("words"))
+    return slots.withColumn("offset", F.lit(0)).withColumn("n_slots", F.lit(1))
 
 
 def _matches(
@@ -172,16 +162,19 @@ def _matches(
     The row with an empty unit and null id counts the records and their tokens.
     """
     length_slot = slots.sparkSession.createDataFrame(
-        [(LENGTH_UNIT, "", 0, 0, 1)], "unit string, gram string, words int, offset int, n_slots int"
+        [(LENGTH_UNIT, "", 0, 0, 1)], "unit long, gram string, words int, offset int, n_slots int"
     )
-    wanted = slots.select(*length_slot.columns).unionByName(length_slot)
-    if small:
-        wanted = F.broadcast(wanted)
+    wanted = slots.select(*length_slot.columns)
     if fields is not None:
         postings = postings.where(F.col("field").isin([-1, *fields]))
     if not phrases:
         postings = postings.where("words <> 2")
-    joined = postings.join(wanted, ["gram", "words"])
+    if small:
+        joined = postings.join(F.broadcast(wanted.unionByName(length_slot)), ["gram", "words"])
+    else:
+        # The length rows share one gram, so they stay out of the shuffle.
+        lengths = postings.where("words = 0").join(F.broadcast(length_slot), ["gram", "words"])
+        joined = postings.where("words > 0").join(wanted, ["gram", "words"]).unionByName(lengths)
     is_length = F.col("unit") == LENGTH_UNIT
     found = joined.select(
         "unit",
@@ -210,20 +203,30 @@ def _matches(
     )
 
 
-def _weights(hits: DataFrame) -> DataFrame:
-    """(unit, idf, mean_tokens): one row per unit that occurs."""
-    is_length = F.col("unit") == LENGTH_UNIT
-    stats = hits.where(is_length).agg(F.sum("n_hits").alias("n"), F.sum("total_tokens").alias("t")).first()
+def _corpus_size(hits: DataFrame) -> tuple[int, float]:
+    """Records and their mean length, from the row of lengths."""
+    lengths = hits.where(F.col("unit") == LENGTH_UNIT)
+    stats = lengths.agg(F.sum("n_hits").alias("n"), F.sum("total_tokens").alias("t")).first()
     n_records, n_tokens = stats["n"] or 0, stats["t"] or 0
-    mean_tokens = n_tokens / n_records if n_tokens else 1.0
-    n = F.count("id")
-    rarity = F.log((F.lit(n_records) - n + 0.5) / (n + 0.5))
-    return (
-        hits.where(~is_length)
-        .groupBy("unit")
-        .agg(F.greatest(rarity, F.lit(IDF_FLOOR)).alias("idf"))
-        .withColumn("mean_tokens", F.lit(mean_tokens))
-    )
+    return n_records, n_tokens / n_records if n_tokens else 1.0
+
+
+def _gains(hits: DataFrame, mean_tokens: float) -> DataFrame:
+    """(unit, id, class, gain): what each unit adds to a record's score, before its rarity."""
+    length_part = K1 * ((1 - B) + B * F.col("n_tokens") / F.lit(mean_tokens))
+    gain = F.col("n_hits") * (K1 + 1) / (F.col("n_hits") + length_part)
+    held = hits.where("id IS NOT NULL")
+    return held.select("unit", "id", bounded_topk.length_class(F.col("n_tokens")).alias("class"), gain.alias("gain"))
+
+
+def _plan(asked: DataFrame, gains: DataFrame, n_records: int) -> DataFrame:
+    """(query_id, unit, negated, weight, n_records, needed) for the units that occur."""
+    n = F.count("*")
+    rarity = F.greatest(F.log((F.lit(n_records) - n + 0.5) / (n + 0.5)), F.lit(IDF_FLOOR))
+    weights = gains.groupBy("unit").agg(rarity.alias("idf"), n.alias("n_records"))
+    needed = asked.groupBy("query_id").agg(F.count_if(~F.col("negated")).alias("needed"))
+    found = asked.join(weights, "unit").join(needed, "query_id").withColumn("weight", F.col("weight") * F.col("idf"))
+    return found.select("query_id", "unit", "negated", "weight", "n_records", "needed")
 
 
 def search_postings(
@@ -234,64 +237,63 @@ def search_postings(
     columns: Sequence[str] | None = None,
     limit: int = 10,
     push_grams: bool = False,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Top hits per query, (query_id, rank, id, score), best BM25 score first, ties by id.
 
     `queries` holds query_id and query. `exclude` is a column of `queries` with words a hit must not
     hold; `columns` restricts matching, though record length always counts all columns. Modes: all
     words, any word, the words as one phrase, every word as a prefix. `push_grams` prunes stored postings, which
-    have a column `bucket`, to the buckets of the grams asked for, however many those are.
+    have a column `bucket`, to the buckets of the grams asked for, however many those are. `terms` is a stored dictionary
+    of the terms of the postings; without it prefixes look them up in the postings.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if limit < 0:
         raise ValueError("limit must not be negative")
-    asked = materialize(_query_units(queries, mode, exclude), "asked")
-    slots = _unit_slots(asked.select("unit", "grams", "prefix").distinct())
-    # A word has one slot, a phrase as many as it has pairs.
-    small = is_small(asked) and (mode != "phrase" or is_small(slots))
+    found = matched(postings, queries, mode, exclude, columns, limit, push_grams, terms)
+    best = Window.partitionBy("query_id").orderBy(F.desc("order_score"), "id")
+    found = found.withColumn("order_score", F.round("score", TIE_DIGITS))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", "id", "score")
+
+
+def matched(
+    postings: DataFrame,
+    queries: DataFrame,
+    mode: str,
+    exclude: Column | None,
+    columns: Sequence[str] | None,
+    limit: int,
+    push_grams: bool,
+    terms: DataFrame | None,
+) -> DataFrame:
+    """(query_id, id, score) of the pairs that are scored: all those among the `limit` best, and few others."""
+    asked = _query_units(queries, mode, exclude)
+    wanted = asked.select("unit", "grams", "prefix").distinct()
+    slots = _unit_slots(wanted.where("NOT prefix"))
     if mode == "prefix":
-        # Only the distinct word lengths come to the driver.
-        lengths = [r["n"] for r in slots.where("prefix").select(F.length("gram").alias("n")).distinct().collect()]
-        postings = _with_prefixes(postings, lengths)
-    elif push_grams:
+        known = distinct_terms(postings) if terms is None else terms
+        slots = slots.unionByName(_prefix_slots(wanted.where("prefix"), known))
+    slots = materialize(slots, "slots")
+    if push_grams:
         # At most as many rows as there are buckets.
-        wanted = slots.select("gram").unionByName(slots.sparkSession.createDataFrame([("",)], "gram string"))
-        buckets = [r["bucket"] for r in wanted.select(gram_bucket().alias("bucket")).distinct().collect()]
+        grams = slots.select("gram").unionByName(slots.sparkSession.createDataFrame([("",)], "gram string"))
+        buckets = [r["bucket"] for r in grams.select(gram_bucket().alias("bucket")).distinct().collect()]
         postings = postings.where(F.col("bucket").isin(buckets))
     fields = None if columns is None else [FIELDS.index(c) for c in columns]
-    hits = materialize(_matches(postings, slots, mode == "phrase", fields, small), "hits")
-
-    needed = asked.groupBy("query_id").agg(F.count_if(~F.col("negated")).alias("needed"))
-    plan = (
-        asked.join(_weights(hits), "unit")
-        .join(needed, "query_id")
-        .select("query_id", "unit", "negated", "weight", "needed", "idf", "mean_tokens")
-    )
-    if small:
-        plan = F.broadcast(plan)
-
-    length_part = K1 * ((1 - B) + F.lit(B) * F.col("n_tokens") / F.col("mean_tokens"))
-    gain = F.col("weight") * F.col("idf") * F.col("n_hits") * (K1 + 1) / (F.col("n_hits") + length_part)
-    # Hits are placed by record once; scoring, filtering and the local top-k then need no exchange.
-    scored = (
-        hits.where("id IS NOT NULL")
-        .repartition("id")
-        .join(plan, "unit")
-        .groupBy("query_id", "id")
-        .agg(
-            F.sum(F.when(~F.col("negated"), gain)).alias("score"),
-            F.count_if(~F.col("negated")).alias("present"),
-            F.max("negated").alias("barred"),
-            F.max("needed").alias("needed"),
-        )
-        .where("NOT barred")
-    )
-    scored = scored.where("present > 0" if mode == "any" else "present = needed AND present > 0")
-    scored = scored.select("query_id", "id", "score", F.round("score", TIE_DIGITS).alias("order_score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("order_score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    return ranked.select("query_id", "rank", "id", "score")
+    hits = materialize(_matches(postings, slots, mode == "phrase", fields, is_small(slots)), "hits")
+
+    n_records, mean_tokens = _corpus_size(hits)
+    gains = _gains(hits, mean_tokens)
+    plan = materialize(_plan(asked, gains, n_records), "plan")
+    by_record, by_query = bounded_topk.record_rows(gains), broadcast_if_small(materialize(bounded_topk.query_rows(plan), "by-query"))
+    if mode == "any":
+        pairs = bounded_topk.likely_pairs(gains, plan, by_record, by_query, max(1, limit))
+    else:
+        pairs = bounded_topk.pairs_with_all(gains, plan)
+    scored = bounded_topk.scored(pairs, by_record, by_query)
+    return (scored if mode == "any" else scored.where("present = needed")).drop("present", "needed")
 
 
 def keyword_search(corpus: DataFrame, queries: DataFrame, mode: str = "all", **options) -> DataFrame:

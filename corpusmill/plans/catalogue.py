@@ -12,11 +12,12 @@ from corpusmill.functions import text as tx
 from corpusmill.functions.identity import embedding_text
 from corpusmill.functions.record_json import from_json_columns, to_documents, to_json_columns
 from corpusmill.functions.vector import norm, unit_row
-from corpusmill.operators import dedup, drift, gates, lookup, merge
+from corpusmill.operators import composite, dedup, drift, evaluation, gates, lookup, merge, quality_score, usage
 from corpusmill.operators import keyword as kw
 from corpusmill.operators.arrivals import number_in_order
 from corpusmill.operators.nearest import vector_topk
 from corpusmill.operators.retrieval import SCORE_DIGITS, retrieve_vectors
+from corpusmill.operators.snapshot_diff import snapshot_diff
 from corpusmill.plans import jobs
 from corpusmill.plans import tables as tb
 from corpusmill.schema import CORPUS, SUMMARY, source_priority
@@ -26,6 +27,7 @@ from corpusmill.sources.records import parse_records, provenance, scan_record_fi
 from corpusmill.sources.snapshots import read_snapshot, write_snapshot
 from corpusmill.sources.vector_index import EncoderMismatchError, VectorIndex, dimension_report, published_location
 from corpusmill.streaming.ingest import ingest_stream
+from corpusmill.streaming.usage import streamed_usage, usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -644,3 +646,97 @@ def continuous_ingest(spark, sf_dir):
     stream = ingest_stream(store, root, fresh_path(spark, "progress"), pattern="part-*", max_files=batch)
     stream.awaitTermination()
     return store.read().select("content_hash").distinct()
+
+
+# --- references, usage, measures, versions, quality -----------------------------------------------
+
+
+@query
+def composite_records(spark, sf_dir):
+    """What every record needs over its references: how many, how far, what is missing, and whether it needs itself."""
+    rows = tb.composite_corpus(spark, sf_dir)
+    roots = rows.select("id")
+    return composite.dependency_report(roots, composite.dependencies(composite.references(rows), roots))
+
+
+@query
+def composite_fetch(spark, sf_dir):
+    """The labelled records of quality 0 with all they need."""
+    rows = tb.composite_corpus(spark, sf_dir)
+    labels = tb.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    found = composite.fetch_with_dependencies(rows, rows.join(labels, "doc_id", "left_semi").select("id"))
+    return found.select("root", "id", "depth", "name", "source")
+
+
+@query
+def usage_daily(spark, sf_dir):
+    return usage.daily_usage(tb.usage_events(spark, sf_dir))
+
+
+@query
+def usage_streamed(spark, sf_dir):
+    """The same counts from a stream of event files, oldest first."""
+    root, location = fresh_path(spark, "events"), fresh_path(spark, "usage")
+    events = tb.usage_events(spark, sf_dir)
+    events.repartitionByRange(4, "ts").write.parquet(root)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(root)
+    # Files of one second come in any order, so no day may close between them.
+    usage_stream(stream, location, fresh_path(spark, "progress"), lateness="60 days").awaitTermination()
+    return streamed_usage(spark, location)
+
+
+@query
+def usage_rerank(spark, sf_dir):
+    """Twenty hits for every label centroid, the best five once use counts."""
+    hits = vector_topk(tb.corpus_vectors(spark, sf_dir), tb.label_centroids(spark, sf_dir), 20)
+    daily = usage.daily_usage(tb.usage_events(spark, sf_dir))
+    ranked = usage.rerank(hits, usage.decayed_usage(daily, F.lit("2024-01-31").cast("date")), 5)
+    return ranked.withColumns({c: F.round(c, SCORE_DIGITS) for c in ("score", "usage")})
+
+
+def _judged(spark, sf_dir):
+    """Every vector as a query: its five nearest others, relevant if of its label."""
+    vectors = materialize(tb.embeddings(spark, sf_dir).select("vec_id", "label", "embedding"), "judged-vectors")
+    hits = vector_topk(
+        vectors.select(F.col("vec_id").alias("id"), "embedding"), vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 6
+    )
+    others = hits.where("id <> query_id")
+    labels = vectors.select("vec_id", "label")
+    own = labels.toDF("query_id", "own")
+    # A query's place among its hits gives the others theirs.
+    place = materialize(hits, "judged-hits").where("id = query_id").select("query_id", F.col("rank").alias("at"))
+    others = others.join(place, "query_id", "left").withColumn("rank", F.col("rank") - F.coalesce((F.col("at") < F.col("rank")).cast("int"), F.lit(0)))
+    judged = others.join(labels.toDF("id", "label"), "id").join(own, "query_id")
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    totals = labels.join(sizes, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+    return evaluation.per_query(judged.select("query_id", "rank", (F.col("label") == F.col("own")).alias("relevant")), totals, 5)
+
+
+@query
+def retrieval_measures(spark, sf_dir):
+    measured = _judged(spark, sf_dir)
+    return measured.withColumns({m: F.round(m, 6) for m in evaluation.MEASURES})
+
+
+@query
+def retrieval_eval(spark, sf_dir):
+    means = evaluation.averages(_judged(spark, sf_dir))
+    return means.withColumns({m: F.round(m, 6) for m in evaluation.MEASURES})
+
+
+@query
+def retrieval_intervals(spark, sf_dir):
+    return evaluation.intervals(materialize(_judged(spark, sf_dir), "measured"))
+
+
+@query
+def snapshot_changes(spark, sf_dir):
+    """The labelled records against all records a version later."""
+    rows = tb.corpus(spark, sf_dir)
+    return snapshot_diff(tb.labelled(rows, spark, sf_dir), tb.next_snapshot(rows))
+
+
+@query
+def quality_filter(spark, sf_dir):
+    found = quality_score.of_quality(tb.corpus(spark, sf_dir), 0.6)
+    return found.select("id", "source", "quality")

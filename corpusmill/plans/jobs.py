@@ -213,7 +213,8 @@ def keyword_hits(store: CorpusStore, queries: DataFrame, mode: str = "all", limi
     """Keyword hits in short form, from stored postings that cover the newest records, else from the records."""
     records = store.read()
     if store.in_step("postings"):
-        hits = search_postings(store.postings.read(), queries, mode, limit=limit, push_grams=True, **options)
+        terms = store.terms.read() if store.terms.exists() else None
+        hits = search_postings(store.postings.read(), queries, mode, limit=limit, push_grams=True, terms=terms, **options)
     else:
         hits = keyword_search(records, queries, mode, limit=limit, **options)
     return attach_records(hits, records, SUMMARY).select("query_id", "rank", *SUMMARY, "score")

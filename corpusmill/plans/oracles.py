@@ -157,6 +157,45 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join(ctes) + ("\n" if last.startswith("SELECT") else ",\n") + last
 
 
+# References by language, and one of a record that does not exist.
+REFERENCES = """refs AS (SELECT c.id, t.id AS ref, TRUE AS known FROM corpus c JOIN corpus t ON t.doc_id <> c.doc_id AND t.doc_id =
+    CASE c.lang WHEN 'fr' THEN c.doc_id + 1 WHEN 'es' THEN c.doc_id + 1 - 2 * (c.doc_id % 2) ELSE c.doc_id // 2 END
+  UNION ALL SELECT id, '0000000000000000', FALSE FROM corpus WHERE lang = 'de'),
+reach AS (SELECT id AS root, ref AS id, known, 1 AS depth FROM refs
+  UNION SELECT r.root, e.ref, e.known, r.depth + 1 FROM reach r JOIN refs e ON e.id = r.id
+  WHERE r.known AND r.id <> r.root AND r.depth < 64),
+needed AS (SELECT root, id, known, min(depth) AS depth FROM reach GROUP BY root, id, known)"""
+USES = """uses AS (SELECT CAST(e.ts AS DATE) AS day, c.id FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents)
+  JOIN corpus c ON c.doc_id = (e.user_id * 100 + CAST(json_extract(e.props, '$.k') AS BIGINT)) % n
+  WHERE e.event_type IN ('view', 'click')),
+daily AS (SELECT day, id, count(*) AS n FROM uses GROUP BY day, id)"""
+JUDGED = """pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, q.label = v.label AS relevant,
+  round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 10) AS s
+  FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM pairs QUALIFY rank <= 5),
+sums AS (SELECT query_id, count(*) FILTER (relevant) / 5 AS precision,
+  coalesce(1 / min(rank) FILTER (relevant), 0) AS reciprocal_rank,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (relevant), 0) AS found FROM ranked GROUP BY query_id),
+totals AS (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n FROM embeddings),
+measured AS (SELECT query_id, precision, reciprocal_rank, CASE WHEN n > 0 THEN
+  found / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS gain
+  FROM sums JOIN totals USING (query_id))"""
+MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("precision", "reciprocal_rank", "gain"))
+COMPARED = ["name", "description", "content_hash", "source", "source_id", "category", "tags"]
+CHANGED = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN o.{c} IS DISTINCT FROM w.{c} THEN '{c}' END" for c in COMPARED
+) + "], lambda x: x IS NOT NULL), ',') AS changed"
+
+
+def matched(key: str, old: str, new: str, name: str) -> str:
+    """CTEs: pairs of one key in the order of their ids, and what both sides have left."""
+    side = "(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY id) AS place FROM {side})"
+    return f"""{name} AS (SELECT o.id AS old_id, w.id AS new_id, {CHANGED} FROM {side.format(key=key, side=old)} o
+  JOIN {side.format(key=key, side=new)} w ON o.{key} = w.{key} AND o.place = w.place),
+{name}_old AS (SELECT * FROM {old} WHERE id NOT IN (SELECT old_id FROM {name})),
+{name}_new AS (SELECT * FROM {new} WHERE id NOT IN (SELECT new_id FROM {name}))"""
+
+
 ORACLES = {
     "content_identity": _with(CORPUS, "SELECT doc_id, id, content_hash FROM corpus"),
     "embedding_texts": _with(
@@ -425,4 +464,65 @@ SELECT DISTINCT h AS content_hash, 'community' AS source, CAST(length(body) AS I
     "continuous_ingest": _with(
         FILES, "SELECT DISTINCT md5(body) AS content_hash FROM split WHERE front IS NOT NULL AND lang <> 'fr'"
     ),
+    "composite_records": _with(
+        CORPUS,
+        REFERENCES,
+        """SELECT c.id, count(*) FILTER (n.known AND n.id <> n.root) AS n_needed, count(*) FILTER (NOT n.known) AS n_missing,
+  CAST(coalesce(max(n.depth) FILTER (n.id <> n.root), 0) AS INT) AS depth, coalesce(bool_or(n.id = n.root), FALSE) AS in_cycle
+FROM corpus c LEFT JOIN needed n ON n.root = c.id GROUP BY c.id""",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "composite_fetch": _with(
+        CORPUS,
+        REFERENCES,
+        """asked AS (SELECT id AS root FROM corpus WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+wanted AS (SELECT root, root AS id, 0 AS depth FROM asked
+  UNION ALL SELECT root, id, depth FROM needed JOIN asked USING (root) WHERE known AND id <> root)
+SELECT root, id, depth, name, source FROM wanted JOIN corpus USING (id)""",
+    ).replace("WITH", "WITH RECURSIVE", 1),
+    "usage_daily": _with(CORPUS, USES, "SELECT day, id, n FROM daily"),
+    "usage_streamed": _with(CORPUS, USES, "SELECT day, id, n FROM daily"),
+    "usage_rerank": _with(
+        CORPUS,
+        VECTORS,
+        CENTROIDS,
+        topk("centroids", "vectors", 20),
+        USES,
+        """used AS (SELECT id, sum(n * pow(2, -date_diff('day', day, DATE '2024-01-31') / 7.0)) AS usage FROM daily GROUP BY id),
+lifted AS (SELECT r.query_id, r.id, coalesce(u.usage, 0) AS usage, 1 + 0.1 * ln(1 + coalesce(u.usage, 0)) AS factor, r.s
+  FROM ranked r LEFT JOIN used u USING (id) WHERE r.rank <= 20),
+final AS (SELECT query_id, id, usage, CASE WHEN s < 0 THEN s / factor ELSE s * factor END AS s FROM lifted)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS INT) AS rank, id,
+  round(s, 4) AS score, round(usage, 4) AS usage FROM final QUALIFY rank <= 5""",
+    ),
+    "retrieval_measures": _with(
+        JUDGED,
+        """SELECT query_id, round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, round(gain, 6) AS gain
+FROM measured""",
+    ),
+    "retrieval_eval": _with(JUDGED, f"SELECT count(*) AS n_queries, {MEANS} FROM measured"),
+    "snapshot_changes": _with(
+        CORPUS,
+        f"""old AS (SELECT * FROM corpus WHERE doc_id IN (SELECT doc_id FROM labels)),
+later AS (SELECT name, source_id, category, tags, description || CASE lang WHEN 'de' THEN ' (revised)' ELSE '' END AS description,
+  md5(instructions || CASE lang WHEN 'es' THEN chr(10) || 'revised' ELSE '' END) AS content_hash,
+  CASE lang WHEN 'fr' THEN {NAMES}[list_position({NAMES}, source) % 4 + 1] ELSE source END AS source FROM corpus),
+new AS (SELECT *, {record_id('source', 'name', 'content_hash')} AS id FROM later),
+same AS (SELECT o.id AS old_id, w.id AS new_id, {CHANGED} FROM old o JOIN new w ON o.id = w.id),
+old_left AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)),
+new_left AS (SELECT * FROM new WHERE id NOT IN (SELECT id FROM old))""",
+        matched("content_hash", "old_left", "new_left", "moved"),
+        matched("name", "moved_old", "moved_new", "rewritten"),
+        """SELECT CASE WHEN changed = '' THEN 'unchanged' ELSE 'updated' END AS status, old_id, new_id, changed FROM same
+UNION ALL SELECT 'moved', old_id, new_id, changed FROM moved UNION ALL SELECT 'rewritten', old_id, new_id, changed FROM rewritten
+UNION ALL SELECT 'removed', id, NULL, '' FROM rewritten_old UNION ALL SELECT 'new', NULL, id, '' FROM rewritten_new""",
+    ),
+    "quality_filter": _with(
+        CORPUS,
+        """eighths AS (SELECT source, quantile_disc(length(instructions), [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e
+  FROM corpus GROUP BY source),
+scored AS (SELECT id, source, round(0.5 * CASE WHEN length(instructions) > 0
+    THEN len(list_filter(e, lambda x: length(instructions) >= x)) / 7 ELSE 0 END
+  + 0.2 * least(len(string_split(tags, ',')), 3) / 3 + 0.3 * level / 4, 6) AS quality FROM corpus JOIN eighths USING (source))
+SELECT id, source, quality FROM scored WHERE quality >= 0.6""",
+    ),
 }

@@ -131,3 +131,47 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage, whole, as a keyword query."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def composite_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, its bodies ending with references: up a tree of halved numbers, along a row, or to and fro, by language.
+
+    German bodies also name a record that does not exist.
+    """
+    rows = corpus(spark, sf_dir)
+    number = F.col("doc_id")
+    target = (
+        F.when(F.col("category").isin("", "de"), F.floor(number / 2))
+        .when(F.col("category") == "fr", number + 1)
+        .otherwise(number + 1 - 2 * (number % 2))
+    )
+    targets = rows.select("doc_id", target.alias("target")).where("doc_id <> target")
+    names = rows.select(F.col("doc_id").alias("target"), F.col("id").alias("ref"))
+    refs = targets.join(names, "target").select("doc_id", F.concat(F.lit("\nskill:"), "ref").alias("line"))
+    broken = F.when(F.col("category") == "de", F.lit("\nskill:" + 16 * "0")).otherwise(F.lit(""))
+    body = F.concat("instructions", F.coalesce("line", F.lit("")), broken)
+    return rows.join(refs, "doc_id", "left").withColumn("instructions", body).drop("line")
+
+
+def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ts, id): views and clicks as uses of the record that user and key of the event number."""
+    used = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    number = F.col("user_id") * 100 + F.get_json_object("props", "$.k").cast("long")
+    # One row on the right.
+    placed = used.join(n, F.lit(True)).select(F.col("ts").cast("timestamp").alias("ts"), (number % F.col("n")).alias("doc_id"))
+    return placed.join(corpus(spark, sf_dir).select("doc_id", "id"), "doc_id").select("ts", "id")
+
+
+def next_snapshot(rows: DataFrame) -> DataFrame:
+    """Corpus rows a version later: French ones under the next source, Spanish ones with another body, German ones described anew."""
+    names = F.array(*[F.lit(s) for s in SOURCE_PRIORITY])
+    following = F.get(names, F.array_position(names, F.col("source")).cast("int") % len(SOURCE_PRIORITY))
+    changed = rows.drop("id", "content_hash").withColumns(
+        {
+            "source": F.when(F.col("category") == "fr", following).otherwise(F.col("source")),
+            "instructions": F.when(F.col("category") == "es", F.concat("instructions", F.lit("\nrevised"))).otherwise(F.col("instructions")),
+            "description": F.when(F.col("category") == "de", F.concat("description", F.lit(" (revised)"))).otherwise(F.col("description")),
+        }
+    )
+    return with_identity(changed)

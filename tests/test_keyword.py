@@ -5,6 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import keyword as kw
+from corpusmill.operators.terms import prefix_terms
+from corpusmill.plans import jobs
+from corpusmill.plans import tables as tb
+from corpusmill.sources.corpus_store import CorpusStore
 
 WORDS = "alpha beta gamma delta école node js memory memories leak the of a b".split()
 
@@ -100,3 +104,58 @@ def test_large_query_sets_take_the_shuffled_join(spark, corpus, monkeypatch):
     small = {tuple(r) for r in kw.keyword_search(corpus, queries, "any").collect()}
     monkeypatch.setattr(kw, "is_small", lambda *_: False)
     assert {tuple(r) for r in kw.keyword_search(corpus, queries, "any").collect()} == small
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10])
+@pytest.mark.parametrize("exclude", [None, "leak of"])
+def test_pruned_hits_are_the_best_of_all(spark, corpus, limit, exclude):
+    """The bounded search against the same search without a threshold."""
+    rng = random.Random(limit)
+    asked = [(i, " ".join(rng.choices(WORDS, [9, 1, 1, 1, 1, 3, 1, 5, 1, 2, 9, 9, 9, 5], k=rng.randint(1, 9)))) for i in range(25)]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    options = {} if exclude is None else {"exclude": F.lit(exclude)}
+    every = kw.keyword_search(corpus, queries, "any", limit=1000, **options).where(F.col("rank") <= limit)
+    got = kw.keyword_search(corpus, queries, "any", limit=limit, **options)
+    order = lambda frame: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in frame.collect())
+    assert order(got) == order(every) != []
+
+
+def test_few_pairs_are_scored(spark):
+    """Of the pairs that share a word, less than a quarter is scored."""
+    folder = "/root/testdata/sf0.01"
+    rows, queries = tb.corpus(spark, folder), tb.passages(spark, folder)
+    postings = kw.build_postings(rows, pairs=False)
+    words = queries.select("query_id", F.explode(kw.tokens(F.col("query"))).alias("gram")).distinct()
+    sharing = postings.where("words = 1").select("id", "gram").join(words, "gram").select("query_id", "id").distinct().count()
+    scored = kw.matched(postings, queries, "any", None, None, 10, False, None).count()
+    assert 10 * queries.count() <= scored < sharing / 4
+
+
+def test_prefixes_are_ranges_of_the_sorted_terms(spark):
+    terms = ["a", "ab", "abc", "ac", "b", "été", "é", "𐐷x", "z" * 40]
+    prefixes = ["a", "ab", "abcd", "é", "e", "z", "𐐷", "abc"]
+    got = prefix_terms(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
+    want = sorted((p, t) for p in prefixes for t in terms if t.startswith(p))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    none = spark.createDataFrame([], "prefix string")
+    assert prefix_terms(spark.createDataFrame([("a",)], "term string"), none).collect() == []
+
+
+def test_many_terms_per_prefix(spark):
+    terms = spark.range(5_000).selectExpr("format_string('w%05d', id) AS term")
+    prefixes = spark.createDataFrame([("w",), ("w01",), ("w04999",)], "prefix string")
+    got = {r.prefix: r.n for r in prefix_terms(terms, prefixes).groupBy("prefix").agg(F.count_distinct("term").alias("n")).collect()}
+    assert got == {"w": 5_000, "w01": 1_000, "w04999": 1}
+
+
+def test_stored_prefixes_read_the_dictionary_and_the_buckets(spark, make_corpus, tmp_path):
+    rows = make_corpus([(f"n{i}", "", f"word{i} memory leak", "community") for i in range(30)])
+    store = CorpusStore(spark, str(tmp_path))
+    store.records.replace(rows)
+    store.rebuild_postings()
+    store.apply(make_corpus([("late", "", "wordy memories", "community")]))
+    queries = spark.createDataFrame([(1, "wordy"), (2, "word2"), (3, "memor")], "query_id long, query string")
+    hits = jobs.keyword_hits(store, queries, "prefix", limit=100).collect()
+    found = {q: sorted(r.name for r in hits if r.query_id == q) for q in (1, 2, 3)}
+    assert found == {1: ["late"], 2: sorted(["n2", *(f"n{i}" for i in range(20, 30))]), 3: sorted(["late", *(f"n{i}" for i in range(30))])}
+    assert {"wordy", "memories", "word7"} <= {r.term for r in store.terms.read().collect()}

@@ -13,11 +13,17 @@ SAMPLE = [
     "field_defaults", "dedup_winner", "merge_outcomes", "merge_store", "category_counts", "fetch_by_id",
     "arrival_order", "postings_build", "kw_all", "kw_not", "kw_prefix", "kw_literal", "vector_topk_batch",
     "retrieve_live", "index_status", "import_rejects", "build_or_update", "snapshot_merge",
+    "composite_records", "composite_fetch", "usage_daily", "usage_streamed", "usage_rerank", "retrieval_measures", "retrieval_eval",
+    "snapshot_changes", "quality_filter",
 ]
 
 
+# Bootstrap draws come from hashes that SQL does not have; tests/test_evaluation.py compares them with a plain loop.
+WITHOUT_SQL = {"retrieval_intervals"}
+
+
 def test_every_catalogue_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
     assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
