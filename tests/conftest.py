@@ -1,6 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
+# One thread for each process of numpy: Spark runs as many tasks as there are cores.
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
+    os.environ.setdefault(name, "1")
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
