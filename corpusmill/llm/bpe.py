@@ -171,11 +171,11 @@ def replay_encoder(path: str, pattern: str):
 
     replay, matches = Replay(read_ranks(path)), regex.compile(pattern).findall
 
-    def encode(texts: list[str]) -> list[list[int]]:
+    def encode(texts: list[str]):
         found = [matches(t) for t in texts]
         words = list({w for f in found for w in f})
         ids = dict(zip(words, replay.encode([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
-        return [ids[f[0]] if len(f) == 1 else [i for w in f for i in ids[w]] for f in found]
+        return pieces.from_lists(texts, [ids[f[0]] if len(f) == 1 else [i for w in f for i in ids[w]] for f in found])
 
     return encode
 

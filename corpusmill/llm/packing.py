@@ -47,8 +47,6 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, sequence: int, id_col: st
                 crc = [zlib.crc32(raw[a : a + 4 * k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
                 doc = batch.column(0).slice(lo, len(texts)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int64()) for c in (start, length, crc, sizes[row]))], names)
-        # Workers outlive tasks; later stages need the memory.
-        encoder.clear()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -92,7 +90,8 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarr
         if value <= 1 + gap:
             break
         column = pattern[present].astype(float)
-        direction = inverse @ column
+        # Not a matrix product: on small matrices the threads of a BLAS cost far more than the sums.
+        direction = (inverse * column).sum(axis=1)
         up = direction > 1e-9
         step = np.full(m, np.inf)
         step[up] = x[up] / direction[up]

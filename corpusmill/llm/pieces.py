@@ -1,9 +1,9 @@
-"""Texts as ids, by way of distinct space-separated pieces.
+"""Texts as ids, by way of distinct short pieces.
 
-A byte-level tokenizer never joins a character that is no white space to a space after it, so a text may be cut
-there: the ids of the text are those of its pieces in order. A batch is cut in Arrow, its distinct pieces are encoded
-once, and ids are gathered by numpy. A worker keeps up to ``CACHE_PIECES`` encoded pieces between batches; that
-is a matter of speed only.
+A byte-level tokenizer never joins a character that is no white space to white space after it, nor an ASCII letter or digit to a
+mark after it, nor a single line break to what follows; so a text may be cut there: the ids of the text are those of its pieces in
+order. A batch is cut by its bytes, its distinct pieces are encoded once, and ids are gathered by numpy. A worker keeps
+encoded pieces of up to ``CACHE_BYTES`` between batches and tasks; that is a matter of speed only.
 """
 
 from __future__ import annotations
@@ -15,12 +15,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1 << 20
+CACHE_BYTES = 192 << 20
+#: What a kept piece takes beside its own bytes and ids: a key, a number and their places.
+PIECE_BYTES = 160
 SLICE_BYTES = 16 << 20
-#: Every character that some tokenizer takes for white space, for RE2.
-WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-#: Code points that mark cuts; one that no text of the slice holds is taken.
-MARKS = [chr(c) for c in (0xFDD0, 0xFDD1, 0xFDD2, 0xFDD3, 0x1FFFE, 0x10FFFF, 1, 2, 3)]
+#: By byte: ASCII that is no white space to any tokenizer, letters and digits, and the marks that a cut may precede.
+SOLID, WORD, MARK = (np.zeros(256, bool) for _ in range(3))
+SOLID[33:127] = True
+SOLID[[*range(9), *range(14, 28), 127]] = True
+WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+MARK[list(b".,;:!?")] = True
+#: The characters beyond ASCII that some tokenizer takes for white space.
+WHITE = [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+WHITE_ENDS = np.array(sorted(int.from_bytes(chr(c).encode()[-3:], "big") for c in WHITE))
+#: Stands between pieces that are encoded in one go: a token of its own beside letters, digits and spaces. Only Latin pieces are
+#: joined, on whose letters all versions of Unicode agree.
+BAR = "|"
+JOINED = 64
+LATIN_END = "\u0250"
+
+#: Encodes pieces: gives them in an order of its own, all their ids, and how many each has.
+Encode = Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -34,34 +49,56 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         yield lo, texts.slice(lo, hi - lo)
 
 
+def _after_solid(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each position is no white space."""
+    solid = SOLID[raw[at - 1]]
+    wide = np.flatnonzero(raw[at - 1] >= 0x80)
+    if len(wide):
+        p = at[wide]
+        two = raw[p - 2].astype(np.int64) << 8 | raw[p - 1]
+        three = raw[np.maximum(p - 3, 0)].astype(np.int64) << 16 | two
+        solid[wide] = ~(np.isin(two, WHITE_ENDS) | np.isin(three, WHITE_ENDS))
+    return solid
+
+
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, offsets, distinct pieces): row i has the pieces codes[offsets[i]:offsets[i + 1]]. Null is empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    mark = next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
-    if mark is None:
-        lists = pa.LargeListArray.from_arrays(np.arange(len(texts) + 1), texts)
-    else:
-        marked = pc.replace_substring(texts, " ", mark + " ")
-        odd = pc.match_substring_regex(texts, WHITE + " ")
-        if pc.any(odd).as_py():
-            safe = pc.replace_substring_regex(texts.filter(odd), f"([^{WHITE[1:]}) ", "\\1" + mark + " ")
-            marked = pc.replace_with_mask(marked, odd, safe)
-        lists = pc.split_pattern(marked, mark)
-    offsets = np.asarray(lists.offsets, np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    return np.asarray(coded.indices), offsets - offsets[0], coded.dictionary.to_pylist()
+    flat = pc.fill_null(texts, "").cast(pa.large_binary())
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    raw = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    begins = np.zeros(len(raw) + 1, bool)
+    # White space after something solid, a mark after a letter or digit, and something solid after a single line break.
+    at = np.flatnonzero((raw == 32) | (raw == 10))
+    at = at[at > 0]
+    begins[at[_after_solid(raw, at)]] = True
+    begins[1:-1] |= MARK[raw[1:]] & WORD[raw[:-1]]
+    line = np.flatnonzero(begins[:-2] & (raw[:-1] == 10)) if len(raw) > 1 else at[:0]
+    begins[line[SOLID[raw[line + 1]]] + 1] = True
+    begins[ends] = True
+    begins[-1] = False
+    starts = np.flatnonzero(begins)
+    buffers = [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))]
+    coded = pa.Array.from_buffers(pa.large_string(), len(starts), buffers).dictionary_encode()
+    return np.asarray(coded.indices), np.searchsorted(starts, ends), coded.dictionary.to_pylist()
+
+
+def from_lists(encoded: list[str], found: Sequence[Sequence[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return encoded, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
 class PieceIds:
     """Ids of pieces, encoded once each while they are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = CACHE_PIECES):
+    def __init__(self, encode: Encode, limit: int = CACHE_BYTES):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         """Forget all pieces."""
         self.slot: dict[str, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -72,24 +109,22 @@ class PieceIds:
         return np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
 
     def slots(self, pieces: list[str]) -> np.ndarray:
-        get = self.slot.get
-        new = [p for p in pieces if get(p) is None]
-        if new and len(self.slot) + len(new) > self.limit:
+        if self.held > self.limit:
             self.clear()
-            get, new = self.slot.get, pieces
+        slot = self.slot
+        new = [p for p in pieces if p not in slot]
         if new:
-            found = self.encode(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-            n = len(self.slot)
+            new, ids, sizes = self.encode(new)
+            n = len(slot)
             self.flat = self._room(self.flat, self.used + len(ids))
             self.start, self.size = self._room(self.start, n + len(new)), self._room(self.size, n + len(new))
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(new)] = sizes
             self.used += len(ids)
-            self.slot.update(zip(new, range(n, n + len(new)), strict=True))
-        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+            self.held += PIECE_BYTES * len(new) + sum(map(len, new)) + 4 * len(ids)
+            slot.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(slot.__getitem__, pieces), np.int64, len(pieces))
 
     def sizes(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
@@ -111,15 +146,18 @@ class PieceIds:
 _KEPT: dict[tuple, PieceIds] = {}
 
 
-def kept(kind: str, path: str, build: Callable[[str], Callable[[list[str]], Sequence[Sequence[int]]]]) -> PieceIds:
+def kept(kind: str, path: str, build: Callable[[str], Encode]) -> PieceIds:
     """The encoder of this worker for a tokenizer file, made on first use."""
     if (kind, path) not in _KEPT:
         _KEPT[kind, path] = PieceIds(build(path))
     return _KEPT[kind, path]
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encode pieces by the tokenizers library with its defaults, without begin or end ids."""
+def library_encoder(path: str) -> Encode:
+    """Encode pieces by the tokenizers library with its defaults, without begin or end ids.
+
+    Pieces of letters and digits are encoded many at once, with a bar between them, where the tokenizer keeps the bar apart.
+    """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,8 +165,22 @@ def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def several(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    bar, *parts = several([BAR, "ab", " cd", "1", BAR.join(("ab", " cd", "1"))])
+    apart = len(bar) == 1 and [*parts[0], *bar, *parts[1], *bar, *parts[2]] == parts[3]
+
+    def encode(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        plain, other = [], []
+        for p in pieces:
+            (plain if apart and p.lower().removeprefix(" ").isalnum() and max(p) < LATIN_END else other).append(p)
+        _, joined, _ = from_lists([], several([BAR.join(plain[i : i + JOINED]) + BAR for i in range(0, len(plain), JOINED)]))
+        stops = np.flatnonzero(joined == bar[0]) if plain else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate(([-1], stops))) - 1
+        _, rest, rest_sizes = from_lists([], several(other))
+        ids = np.concatenate((np.delete(joined, stops), rest))
+        return plain + other, ids, np.concatenate((sizes, rest_sizes))
 
     return encode
 
