@@ -1,4 +1,4 @@
-"""Token counts of whole texts; huge texts are encoded in overlapping chunks that resynchronise.
+"""Token counts of whole texts; a text longer than one chunk is encoded in overlapping chunks that resynchronise.
 
 Neighbouring chunks overlap. Both encodings carry offsets; they are spliced at a boundary that both have and that is
 stable whatever stands around it: a space after a character that is no white space, which byte-level patterns never
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import pieces
 
-HUGE_CHARS = 65_536
-CHUNK_CHARS = 32_768
+CHUNK_CHARS = 8_192
 OVERLAP_CHARS = 512
 
 
@@ -42,7 +41,7 @@ def _splice(text: str, left, left_at: int, right, right_at: int) -> int | None:
     return None
 
 
-def count_huge(text: str, encode, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
+def count_by_chunks(text: str, encode, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
     """Tokens of a text by overlapping chunks; ``encode`` gives ids and character offsets."""
     total, begin, start, end = 0, 0, 0, min(len(text), chunk)
     left = encode(text[start:end])
@@ -74,14 +73,14 @@ def token_counts(
     limit: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
-    huge_chars: int = HUGE_CHARS,
     chunk: int = CHUNK_CHARS,
     overlap: int = OVERLAP_CHARS,
 ) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row.
 
     Counts are those of the tokenizers library for the .json file at ``path`` with its defaults, without begin or end
-    ids. Null and empty texts have none. Repeated rows stay; other columns are dropped.
+    ids. Texts of up to ``chunk`` characters are one chunk: they are cut at stable boundaries only, so that a piece that many
+    of them share is encoded once. Null and empty texts have none. Repeated rows stay; other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,12 +91,12 @@ def token_counts(
         whole = None
         for batch in batches:
             for lo, texts in pieces.slices(batch.column(1)):
-                huge = pc.fill_null(pc.greater(pc.utf8_length(texts), huge_chars), False)
-                rest = pc.if_else(huge, "", texts)
+                long = pc.fill_null(pc.greater(pc.utf8_length(texts), chunk), False)
+                rest = pc.if_else(long, "", texts)
                 n = counter.sizes(rest)
-                for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)):
+                for i in np.flatnonzero(long.to_numpy(zero_copy_only=False)):
                     whole = whole or Tokenizer.from_file(path)
-                    n[i] = count_huge(texts[i].as_py(), lambda t: whole.encode(t, add_special_tokens=False), chunk, overlap)
+                    n[i] = count_by_chunks(texts[i].as_py(), lambda t: whole.encode(t, add_special_tokens=False), chunk, overlap)
                 size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
                 ids = batch.column(0).slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, size, pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])

@@ -44,7 +44,7 @@ def odd_frame(spark):
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
-@pytest.mark.parametrize("limit", [50, 1 << 20])
+@pytest.mark.parametrize("limit", [50, 1 << 28])
 def test_pieces_have_the_ids_of_whole_texts(path, limit):
     coder = pieces.PieceIds(pieces.library_encoder(path), limit)
     for lo, texts in pieces.slices(pa.array(ODD), 4000):
@@ -62,8 +62,8 @@ def test_overlapping_chunks_count_like_whole_texts(chunk, overlap):
         return tokenizer.encode(text, add_special_tokens=False)
 
     for text in ODD[1:-1]:
-        assert token_counts.count_huge(text, encode, chunk, overlap) == len(encode(text).ids), text
-    assert token_counts.count_huge(ODD[-1], encode, 3000, overlap) == len(encode(ODD[-1]).ids)
+        assert token_counts.count_by_chunks(text, encode, chunk, overlap) == len(encode(text).ids), text
+    assert token_counts.count_by_chunks(ODD[-1], encode, 3000, overlap) == len(encode(ODD[-1]).ids)
 
 
 def test_op6(spark):
@@ -74,13 +74,20 @@ def test_op6(spark):
         i: (n, len((texts[i] or "").encode()), n > 512) for i, n in want.items()
     }
     frame, rows = odd_frame(spark)
-    got = token_counts.token_counts(frame, BYTE, huge_chars=60, chunk=50, overlap=8).collect()
+    got = token_counts.token_counts(frame, BYTE, chunk=50, overlap=8).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter(
         (i, len(ids)) for (i, _), ids in zip(rows, batch_ids(BYTE, [t for _, t in rows]), strict=True)
     )
     assert token_counts.token_counts(frame.limit(0), BYTE).collect() == []
 
 
+def test_chunks_and_pieces_agree_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert docs.where("length(text) > 8192").count() > 10
+    count = lambda chunk: {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, BYTE, chunk=chunk).collect()}
+    assert count(1 << 30) == count(token_counts.CHUNK_CHARS) == count(3_000)
+
+
 def check_files(got, rows):
     ids = [(i, [*x, 1]) for (i, _), x in zip(rows, batch_ids(WORD, [t for _, t in rows]), strict=True)]
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(x), crc(x)) for i, x in ids)
