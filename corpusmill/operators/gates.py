@@ -75,10 +75,11 @@ def id_clashes(stored: DataFrame, batch: DataFrame, small_batch: bool | None = N
 def one_per_record(records: DataFrame) -> tuple[DataFrame, int]:
     """The rows with one of each (id, content_hash), and how many others there were.
 
-    Only rows whose pair repeats are grouped; as a rule there are none.
+    Only rows whose pair repeats are grouped; as a rule there are none. A pair with a null is no repeat of another: the
+    gate for required fields turns such rows away.
     """
     pair = ["id", "content_hash"]
-    often = materialize(records.groupBy(*pair).count().where("count > 1"), "repeated")
+    often = materialize(records.dropna(subset=pair).groupBy(*pair).count().where("count > 1"), "repeated")
     others = often.agg(F.sum(F.col("count") - 1).alias("n")).first()["n"] or 0
     if not others:
         return records, 0

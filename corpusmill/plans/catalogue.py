@@ -15,6 +15,7 @@ from corpusmill.functions.vector import norm, unit_row
 from corpusmill.operators import composite, dedup, drift, evaluation, gates, lookup, merge, quality_score, usage
 from corpusmill.operators import keyword as kw
 from corpusmill.operators.arrivals import number_in_order
+from corpusmill.operators.bounded_vectors import bounded_topk
 from corpusmill.operators.nearest import vector_topk
 from corpusmill.operators.retrieval import SCORE_DIGITS, retrieve_vectors
 from corpusmill.operators.snapshot_diff import snapshot_diff
@@ -23,7 +24,7 @@ from corpusmill.plans import tables as tb
 from corpusmill.schema import CORPUS, SUMMARY, source_priority
 from corpusmill.session import fresh_path, materialize
 from corpusmill.sources.corpus_store import CorpusStore
-from corpusmill.sources.records import parse_records, provenance, scan_record_files, split_records
+from corpusmill.sources.records import parse_records, provenance, scan_record_files, split_records, with_slug
 from corpusmill.sources.snapshots import read_snapshot, write_snapshot
 from corpusmill.sources.vector_index import EncoderMismatchError, VectorIndex, dimension_report, published_location
 from corpusmill.streaming.ingest import ingest_stream
@@ -86,10 +87,11 @@ def tag_normalise(spark, sf_dir):
 @query
 def provenance_fields(spark, sf_dir):
     manifest = F.broadcast(gates.manifest_frame(spark, tb.VETTED)).drop("source")
-    rows = tb.corpus(spark, sf_dir).join(manifest, "slug")
+    # Records of repositories that nobody vetted have no provenance.
+    rows = tb.corpus(spark, sf_dir).join(manifest, "slug", "left")
     inner = F.concat(F.lit("skills/"), F.col("name"), F.lit("/SKILL.md"))
     declared = F.when(F.col("category") == "fr", F.lit(" BSD-3-Clause ")).otherwise(F.lit(" "))
-    rows = rows.select("id", "source_id", provenance(F.col("slug"), F.col("spdx"), inner, declared).alias("m"))
+    rows = rows.select("id", "source_id", F.when(F.col("spdx").isNotNull(), provenance(F.col("slug"), F.col("spdx"), inner, declared)).alias("m"))
     keys = ["repo", "repo_url", "license", "path", "url", "declared_license"]
     return rows.select("id", "source_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in keys])
 
@@ -131,16 +133,21 @@ def record_documents(spark, sf_dir):
 
 @query
 def reject_malformed(spark, sf_dir):
-    files = tb.record_files(spark, sf_dir)
-    kept = parse_records(files, "directory").select("path", F.lit(True).alias("kept"))
-    return files.select("path").join(kept, "path", "left").where("kept IS NULL").select("path")
+    rows = parse_records(tb.record_files(spark, sf_dir), "directory", on_error="quarantine", keep_malformed=True)
+    return rows.where("error IS NOT NULL").select("path", "error")
 
 
 @query
 def field_defaults(spark, sf_dir):
-    rows = parse_records(tb.record_files(spark, sf_dir), "curated", gates.manifest_frame(spark, tb.VETTED))
+    """Records of vetted repositories, and the files of others with the reason they stay out."""
+    files, manifest = tb.record_files(spark, sf_dir), gates.manifest_frame(spark, tb.VETTED)
+    rows = parse_records(files, "curated", manifest)
     declared = F.try_element_at("metadata", F.lit("declared_license")).alias("declared_license")
-    return rows.select("id", "name", "description", "source", "source_id", "category", _joined(), declared)
+    none = F.lit(None).cast("string")
+    kept = rows.select("id", "name", "description", "source", "source_id", "category", _joined(), declared, none.alias("reason"))
+    outside = with_slug(files).join(F.broadcast(manifest.select("slug")), "slug", "left_anti")
+    refused = outside.select(F.concat("slug", F.lit(":"), "inner").alias("source_id"), F.lit("no vetted licence").alias("reason"))
+    return kept.unionByName(refused, allowMissingColumns=True)
 
 
 @query
@@ -233,8 +240,11 @@ def merge_outcomes(spark, sf_dir):
 
 @query
 def merge_store(spark, sf_dir):
-    stored, batch = _store_and_batch(spark, sf_dir)
-    return merge.merge_corpus(materialize(_slim(stored), "stored"), materialize(_slim(batch), "batch")).drop("ord")
+    stored, batch = (rows.select(*FIELDS, "ord") for rows in _store_and_batch(spark, sf_dir))
+    merged = merge.merge_corpus(materialize(stored, "stored"), materialize(batch, "batch"))
+    chars = F.try_element_at("metadata", F.lit("chars")).alias("chars")
+    fields = ["id", "name", "content_hash", "source", "description", "source_id", "category"]
+    return merged.select(*fields, _joined(), chars, F.md5("instructions").alias("body"))
 
 
 @query
@@ -259,7 +269,8 @@ def by_category(spark, sf_dir):
 
 @query
 def id_scan(spark, sf_dir):
-    return lookup.all_ids(tb.corpus(spark, sf_dir))
+    """The ids of a stored corpus: the scan reads that column alone."""
+    return lookup.all_ids(_store(spark, sf_dir, tb.corpus(spark, sf_dir)).read())
 
 
 @query
@@ -414,6 +425,13 @@ def vector_topk_batch(spark, sf_dir):
     return _rounded(vector_topk(_stored(spark, sf_dir), queries, 5))
 
 
+@query
+def vector_topk_bounded(spark, sf_dir):
+    """The same through pivots and their bounds."""
+    queries = tb.embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(bounded_topk(_stored(spark, sf_dir), queries, 5)[0])
+
+
 def _live(spark, sf_dir):
     return dedup.keep_winners(tb.corpus(spark, sf_dir))
 
@@ -449,7 +467,8 @@ def search_summaries(spark, sf_dir):
 
 @query
 def index_missing(spark, sf_dir):
-    return drift.missing_ids(tb.corpus(spark, sf_dir), tb.corpus_vectors(spark, sf_dir))
+    """Against an index that lacks the vectors of one label."""
+    return drift.missing_ids(tb.corpus(spark, sf_dir), tb.corpus_vectors(spark, sf_dir, without_label=0))
 
 
 @query
@@ -503,7 +522,22 @@ def _store(spark, sf_dir, rows: DataFrame) -> CorpusStore:
 @query
 def import_job(spark, sf_dir):
     stored, batch = _store_and_batch(spark, sf_dir)
-    return jobs.merge_batch(_store(spark, sf_dir, stored), batch.select(*FIELDS, "ord")).stats
+    store = _store(spark, sf_dir, stored)
+    store.build_aids()
+    return jobs.merge_batch(store, batch.select(*FIELDS, "ord")).stats
+
+
+@query
+def kept_category_counts(spark, sf_dir):
+    """Counts per category and source after an import, a duplicate removal and a delete, from the kept changes alone."""
+    rows = tb.corpus(spark, sf_dir)
+    store = _store(spark, sf_dir, tb.labelled(rows, spark, sf_dir))
+    store.build_aids()
+    jobs.dedup_store(store)
+    jobs.merge_batch(store, tb.unlabelled(rows, spark, sf_dir).select(*FIELDS, "ord"))
+    bad = tb.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    jobs.delete_records(store, rows.join(bad, "doc_id", "left_semi").select("id"))
+    return jobs.category_source_counts(store)
 
 
 @query
@@ -645,7 +679,7 @@ def continuous_ingest(spark, sf_dir):
     batch = max(1, tb.documents(spark, sf_dir).count() // 3)
     stream = ingest_stream(store, root, fresh_path(spark, "progress"), pattern="part-*", max_files=batch)
     stream.awaitTermination()
-    return store.read().select("content_hash").distinct()
+    return store.read().select("content_hash", "source", F.length("instructions").alias("body_chars"))
 
 
 # --- references, usage, measures, versions, quality -----------------------------------------------

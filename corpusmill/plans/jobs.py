@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.encoders import Encoder, encoder_for
-from corpusmill.operators import dedup, drift, lookup, merge
+from corpusmill.operators import dedup, drift, kept_counts, lookup, merge
 from corpusmill.operators.gates import admit, manifest_frame, one_per_record, require_known_sources, require_vetted
 from corpusmill.operators.keyword import attach_records, keyword_search, search_postings
 from corpusmill.operators.retrieval import search_summaries
 from corpusmill.schema import CORPUS, DEFAULT_MANIFEST, SUMMARY, conform
-from corpusmill.session import is_small, materialize
+from corpusmill.session import broadcast_if_small, is_small, materialize
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.records import parse_records, present_slugs, scan_record_files, with_slug
 from corpusmill.sources.vector_index import EncoderMismatchError, VectorIndex, published_location
@@ -28,13 +28,15 @@ class MergeResult:
     """What a merge did.
 
     `counts`: total, added, replaced, skipped_duplicate. `rejects`: ord, id, name, source, reason.
-    `accepted` are the records it took in, `displaced` the ids they replaced, None when nothing changed.
+    `accepted` are the records it took in, `displaced` the ids they replaced, None when nothing changed. `probe` tells, where
+    filters were in step, how many body hashes came, passed the filters, and were stored indeed.
     """
 
     counts: dict[str, int]
     rejects: DataFrame
     accepted: DataFrame | None = None
     displaced: DataFrame | None = None
+    probe: dict[str, int] | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -55,19 +57,39 @@ def _merge_written(store: CorpusStore, batch: DataFrame) -> MergeResult:
     stored = store.read().select("id", "content_hash", "source")
     small = is_small(batch.select("id", "content_hash"))
     sound, rejects = admit(stored, batch, small)
-    outcomes = materialize(merge.hash_outcomes(stored, sound, small), "outcomes")
+    held, probe = _held(store, stored, sound)
+    outcomes = materialize(merge.hash_outcomes(held, sound, small), "outcomes")
     counts = merge.merge_stats(outcomes).first().asDict()
     # Every record of the batch is either sound, and then an arrival, or rejected.
     total = batch.count()
     counts["skipped_duplicate"] += total - counts["total"]
     counts["total"] = total
     if not counts["added"] and not counts["replaced"]:
-        return MergeResult(counts, rejects)
+        return MergeResult(counts, rejects, probe=probe)
     taken = merge.accepted(sound, outcomes)
     # Written before the store changes: `stored` is read from it.
     gone = materialize(merge.displaced(stored, outcomes), "displaced") if counts["replaced"] else None
     store.apply(taken, gone)
-    return MergeResult(counts, rejects, taken, gone)
+    return MergeResult(counts, rejects, taken, gone, probe)
+
+
+def _held(store: CorpusStore, stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, dict[str, int] | None]:
+    """The stored rows that share a body hash with the batch, and what the filters told.
+
+    Where no hash passes them, no stored row is read.
+    """
+    passing = store.may_hold(batch)
+    if passing is None:
+        return stored, None
+    passing = materialize(passing, "possible")
+    n_passing = passing.count()
+    if n_passing:
+        held = materialize(stored.join(broadcast_if_small(passing), "content_hash", "left_semi").select(*stored.columns), "held")
+    else:
+        held = store.spark.createDataFrame([], stored.schema)
+    n_found = held.select("content_hash").distinct().count() if n_passing else 0
+    probe = {"hashes": batch.select("content_hash").distinct().count(), "passing": n_passing, "found": n_found}
+    return held, probe
 
 
 Importer = Callable[[DataFrame], DataFrame]
@@ -156,6 +178,7 @@ def sync_snapshot(store: CorpusStore, snapshot: DataFrame, replace: bool = False
         none = store.spark.createDataFrame([], CORPUS)
         sound, _ = admit(none, materialize(snapshot, "snapshot"))
         store.records.replace(sound)
+        store.build_aids()
         store.rebuild_postings()
         return None
     result = merge_batch(store, snapshot)
@@ -200,11 +223,18 @@ def adopt_index(store: CorpusStore, published_root: str, encoder: Encoder) -> Da
     return drift.index_status(store.read(), store.index.read())
 
 
+def category_source_counts(store: CorpusStore) -> DataFrame:
+    """(category, source, n), from kept counts that cover the newest records, else from the records."""
+    if store.in_step("counts"):
+        return kept_counts.totals(store.counts.read())
+    return kept_counts.changes(store.read())
+
+
 def status(store: CorpusStore) -> DataFrame:
     """One row: records, vectors, drift and the number of categories in use, which `lookup.categories` lists."""
     records = store.read()
     vectors = store.index.read() if store.index.exists() else store.spark.createDataFrame([], "id string")
-    labels = lookup.categories(records).agg(F.count("*").alias("n_categories"))
+    labels = lookup.categories(category_source_counts(store)).agg(F.count("*").alias("n_categories"))
     # Two one-row frames.
     return drift.index_status(records, vectors).join(labels, F.lit(True))
 

@@ -54,8 +54,7 @@ batch AS (SELECT * FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 stored AS (SELECT * FROM labelled
   QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY level DESC, ord) = 1),
 sequence AS (
-  SELECT id, name, content_hash, source, tags, level, ord, 1 AS arriving FROM batch
-  UNION ALL SELECT id, name, content_hash, source, tags, level, -1, 0 FROM stored),
+  SELECT * EXCLUDE (ord), ord, 1 AS arriving FROM batch UNION ALL SELECT * EXCLUDE (ord), -1, 0 FROM stored),
 seen AS (SELECT *, max(level) OVER (PARTITION BY content_hash ORDER BY ord
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM sequence),
 outcomes AS (SELECT *, CASE WHEN held IS NULL THEN 'added' WHEN level > held THEN 'replaced' ELSE 'skipped' END
@@ -214,12 +213,12 @@ ORACLES = {
 SELECT doc_id, CAST(len(tags) AS INT) AS n_tags, md5(array_to_string(tags, '|')) AS tags_hash FROM t""",
     "provenance_fields": _with(
         CORPUS,
-        """SELECT id, source_id, slug AS repo, 'https://github.com/' || slug AS repo_url,
-  CASE WHEN CAST(substr(folder, 4) AS INT) % 2 = 1 THEN 'MIT' ELSE 'Apache-2.0' END AS license,
-  'skills/' || name || '/SKILL.md' AS path,
-  'https://github.com/' || slug || '/blob/main/skills/' || name || '/SKILL.md' AS url,
-  CASE WHEN category = 'fr' THEN 'BSD-3-Clause' END AS declared_license
-FROM corpus WHERE CAST(substr(folder, 4) AS INT) < 15""",
+        """vetted AS (SELECT *, CAST(substr(folder, 4) AS INT) AS n FROM corpus WHERE CAST(substr(folder, 4) AS INT) < 15)
+SELECT c.id, c.source_id, v.slug AS repo, 'https://github.com/' || v.slug AS repo_url,
+  CASE v.n % 2 WHEN 1 THEN 'MIT' WHEN 0 THEN 'Apache-2.0' END AS license, 'skills/' || v.name || '/SKILL.md' AS path,
+  'https://github.com/' || v.slug || '/blob/main/skills/' || v.name || '/SKILL.md' AS url,
+  CASE WHEN v.category = 'fr' THEN 'BSD-3-Clause' END AS declared_license
+FROM corpus c LEFT JOIN vetted v USING (doc_id)""",
     ),
     "source_priorities": _with(CORPUS, "SELECT id, CAST(level AS INT) AS priority, 0 AS slug_priority FROM corpus"),
     "vector_norms": """WITH v AS (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
@@ -230,7 +229,7 @@ FROM corpus WHERE CAST(substr(folder, 4) AS INT) < 15""",
   epoch(TIMESTAMP '2024-01-01 00:00:00')::BIGINT AS created_epoch FROM corpus""",
     ),
     "record_documents": _with(CORPUS, "SELECT id, name, source, content_hash FROM corpus"),
-    "reject_malformed": _with(FILES, "SELECT path FROM split WHERE front IS NULL"),
+    "reject_malformed": _with(FILES, "SELECT path, 'none' AS error FROM split WHERE front IS NULL"),
     "field_defaults": _with(
         FILES,
         f"""s AS (SELECT *, 'doc-' || doc_id AS name, {NAMES}[CAST(substr(source, 4) AS INT) % 4 + 1] AS origin,
@@ -239,7 +238,9 @@ SELECT {record_id('origin', 'name', 'h')} AS id, name,
   CASE lang WHEN 'fr' THEN '' ELSE lang || ' text from ' || source END AS description, origin AS source,
   'org/' || source || ':' || inner_path AS source_id,
   CASE lang WHEN 'de' THEN source WHEN 'fr' THEN 'fr' ELSE '' END AS category, lang || ',' || source AS tags,
-  CASE lang WHEN 'en' THEN 'BSD-3-Clause' END AS declared_license FROM s""",
+  CASE lang WHEN 'en' THEN 'BSD-3-Clause' END AS declared_license, NULL AS reason FROM s
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'org/' || source || ':' || inner_path, NULL, NULL, NULL, 'no vetted licence'
+  FROM split WHERE CAST(substr(source, 4) AS INT) >= 15""",
     ),
     "directory_records": _with(
         FILES,
@@ -285,7 +286,12 @@ WHERE CAST(substr(source, 4) AS INT) >= 15""",
     ),
     "merge_stats": _with(CORPUS, MERGE, f"SELECT {MERGE_COUNTS} FROM outcomes"),
     "merge_outcomes": _with(CORPUS, MERGE, "SELECT ord, id, outcome FROM outcomes"),
-    "merge_store": _with(CORPUS, MERGE, "SELECT id, name, content_hash, source FROM merged"),
+    "merge_store": _with(
+        CORPUS,
+        MERGE,
+        """SELECT id, name, content_hash, source, description, source_id, category, tags, CAST(n_chars AS VARCHAR) AS chars,
+  md5(instructions) AS body FROM merged""",
+    ),
     "record_count": "SELECT count(*) AS n_records FROM documents",
     "category_counts": "SELECT lang AS category, count(*) AS n_records FROM documents WHERE lang <> 'en' GROUP BY lang",
     "distinct_categories": "SELECT DISTINCT lang AS category FROM documents WHERE lang <> 'en'",
@@ -354,6 +360,11 @@ SELECT count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(n),
         topk("stored", "stored", 5),
         HITS,
     ),
+    "vector_topk_bounded": _with(
+        "stored AS (SELECT vec_id AS id, vec_id AS query_id, embedding::DOUBLE[] AS embedding FROM embeddings)",
+        topk("stored", "stored", 5),
+        HITS,
+    ),
     "retrieve_live": _with(
         CORPUS,
         WINNERS,
@@ -375,7 +386,7 @@ FROM hits JOIN winners USING (id)""",
     "search_summaries": _with(
         CORPUS, VECTORS, CENTROIDS, topk("unit_centroids", "vectors", 5), f"SELECT {SUMMARY} FROM hits JOIN corpus USING (id)"
     ),
-    "index_missing": _with(CORPUS, VECTORS, "SELECT id FROM corpus WHERE id NOT IN (SELECT id FROM vectors)"),
+    "index_missing": _with(CORPUS, "SELECT id FROM corpus WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 0)"),
     "index_stale": _with(
         CORPUS, WINNERS, VECTORS, "SELECT id FROM vectors WHERE id NOT IN (SELECT id FROM winners)"
     ),
@@ -398,6 +409,12 @@ SELECT id, 128 FROM corpus WHERE id NOT IN (SELECT id FROM vectors)""",
         CORPUS, "SELECT id AS query_id, 1 AS rank, id, CAST(1 AS DOUBLE) AS score FROM corpus"
     ),
     "import_job": _with(CORPUS, MERGE, f"SELECT {MERGE_COUNTS} FROM outcomes"),
+    "kept_category_counts": _with(
+        CORPUS,
+        MERGE,
+        """SELECT category, source, count(*) AS n FROM merged
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY category, source""",
+    ),
     "import_rejects": _with(
         CORPUS,
         """sound AS (SELECT * FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
@@ -462,7 +479,9 @@ SELECT DISTINCT h AS content_hash, 'community' AS source, CAST(length(body) AS I
   total, added, total - added AS skipped_duplicate FROM parsed, counts WHERE lang <> 'fr'""",
     ),
     "continuous_ingest": _with(
-        FILES, "SELECT DISTINCT md5(body) AS content_hash FROM split WHERE front IS NOT NULL AND lang <> 'fr'"
+        FILES,
+        """SELECT DISTINCT md5(body) AS content_hash, 'community' AS source, CAST(length(body) AS INT) AS body_chars
+FROM split WHERE front IS NOT NULL AND lang <> 'fr'""",
     ),
     "composite_records": _with(
         CORPUS,

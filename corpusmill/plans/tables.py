@@ -107,14 +107,17 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "embeddings"), f"{sf_dir}/embeddings.parquet")
 
 
-def corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_vectors(spark: SparkSession, sf_dir: str, without_label: int | None = None) -> DataFrame:
     """(id, embedding): vectors under the id of the document they share a number with, or one of their own.
 
     The latter stand for vectors whose record is gone.
     """
     ids = corpus(spark, sf_dir).select("id", F.col("doc_id").alias("vec_id"))
     own = F.coalesce("id", F.concat(F.lit("vec-"), "vec_id")).alias("id")
-    return embeddings(spark, sf_dir).join(ids, "vec_id", "left").select(own, "embedding")
+    rows = embeddings(spark, sf_dir)
+    if without_label is not None:
+        rows = rows.where(F.col("label") != without_label)
+    return rows.join(ids, "vec_id", "left").select(own, "embedding")
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,75 @@
+"""Bit filters and kept counts: exact whatever they skip, and in step with the records or not used."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.operators import membership
+from corpusmill.plans import jobs
+from corpusmill.sources.corpus_store import CorpusStore
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    made = CorpusStore(spark, str(tmp_path))
+    made.init()
+    return made
+
+
+def _merge(store, make_corpus, rows):
+    return jobs.merge_batch(store, make_corpus(rows, ordered=True))
+
+
+def _counts(store):
+    return {(r.category, r.source): r.n for r in jobs.category_source_counts(store).collect()}
+
+
+def test_filters_hold_every_key_and_few_others(spark):
+    known = spark.range(2_000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    other = spark.range(2_000, 6_000).select(F.md5(F.col("id").cast("string")).alias("h"))
+    size = membership.filter_size(2_000)
+    filters = membership.build_filter(known, "h", size).unionByName(membership.build_filter(other.limit(10), "h", membership.SMALLEST))
+    keys = known.unionByName(other).unionByName(spark.createDataFrame([(None,)], "h string"))
+    passing = {r.h for r in membership.possible_members(keys, "h", filters, [size, membership.SMALLEST]).collect()}
+    assert {r.h for r in known.unionByName(other.limit(10)).collect()} <= passing
+    assert len(passing) < 2_010 + 4_000 * 0.03
+    assert membership.possible_members(keys, "h", filters.limit(0), []).collect() == []
+
+
+def test_merging_filters_is_building_one(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("h"), "id")
+    parts = [membership.build_filter(rows.where(F.col("id") % 3 == i), "h", 4096) for i in range(3)]
+    merged = membership.merge_filters(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    key = lambda frame: sorted(map(tuple, frame.select("size", "slot", "bits").collect()))
+    assert key(merged) == key(membership.build_filter(rows, "h", 4096))
+
+
+def test_imports_ask_the_filters(store, make_corpus):
+    first = _merge(store, make_corpus, [(f"n{i}", "d", f"body {i}", "langskills", "a") for i in range(40)])
+    assert first.probe == {"hashes": 40, "passing": 0, "found": 0} and first.counts["added"] == 40
+    rows = [("x", "d", "body 3", "community", "b"), ("y", "d", "body 4", "skillnet", "b"), ("z", "d", "unseen", "community", "b")]
+    second = _merge(store, make_corpus, rows)
+    assert {k: second.counts[k] for k in ("added", "replaced", "skipped_duplicate")} == {"added": 1, "replaced": 1, "skipped_duplicate": 1}
+    assert second.probe["hashes"] == 3 and second.probe["found"] == 2 <= second.probe["passing"]
+
+
+def test_filters_out_of_step_are_not_asked(store, make_corpus):
+    _merge(store, make_corpus, [("n", "d", "one", "community")])
+    store.records.append(make_corpus([("m", "d", "two", "community")]))
+    result = _merge(store, make_corpus, [("o", "d", "two", "community")])
+    assert result.probe is None and result.counts["skipped_duplicate"] == 1
+    store.build_aids()
+    assert _merge(store, make_corpus, [("o", "d", "two", "community")]).probe["found"] == 1
+
+
+def test_counts_follow_adds_replacements_and_deletes(spark, store, make_corpus):
+    assert _counts(store) == {}
+    _merge(store, make_corpus, [("n", "d", "one", "langskills", "a"), ("m", "d", "two", "community", "a")])
+    assert _counts(store) == {("a", "langskills"): 1, ("a", "community"): 1}
+    _merge(store, make_corpus, [("n2", "d", "one", "anthropic", "b")])
+    assert _counts(store) == {("b", "anthropic"): 1, ("a", "community"): 1}
+    assert store.in_step("counts")
+    gone = store.read().where("name = 'm'").select("id")
+    assert jobs.delete_records(store, gone) == 1
+    assert _counts(store) == {("b", "anthropic"): 1}
+    kept = {(r.category, r.source): r.n for r in store.read().groupBy("category", "source").agg(F.count("*").alias("n")).collect()}
+    assert _counts(store) == kept
