@@ -2,8 +2,9 @@
 
 A bounded sample of vectors gives a nearest-neighbour graph. The graph is cut into balanced parts with few edges
 between them, and a small classifier learns which parts a vector and its neighbours lie in. Every row of the table is filed under its
-most probable part; a query goes to the several most probable parts, as many as the sample needs to find
-``TARGET`` of its own neighbours, and all rows of those parts are ranked by exact distance.
+most probable part; a query goes to the several most probable parts, and all rows of those parts are ranked by exact distance.
+How many parts that are is measured: ``TRIALS`` rows are searched for in the whole table by brute force, and enough parts are visited
+to find ``TARGET`` of their true neighbours. Parts grow in number with the square root of the rows, up to ``MAX_PARTS``.
 
 A part is searched in pairs of bounded blocks of rows and queries, one group per pair, so a part that holds a third of all rows, or
 very many copies of one vector, is spread over tasks, and nothing is cut off.
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import materialize
 
-#: Bounds of the training sample and of what is learned from it.
-SAMPLE_ROWS, MAX_PARTS, PART_ROWS, GRAPH_DEGREE, HIDDEN = 4_096, 64, 1_024, 10, 64
-#: Share of the sample's own neighbours that the routed parts must hold.
-TARGET = 0.97
-ROW_BLOCK, QUERY_BLOCK = 16_384, 2_048
+#: Bounds of the training sample and of what is learned from it; a part needs some rows of the sample to be learned.
+SAMPLE_ROWS, MAX_PARTS, PART_SAMPLE, GRAPH_DEGREE, HIDDEN = 8_192, 256, 32, 10, 128
+#: Rows searched for by brute force, and the share of their true neighbours that the routed parts must hold.
+TRIALS, TARGET = 64, 0.97
+ROW_BLOCK, QUERY_BLOCK = 16_384, 16_384
 COMPARE_BLOCK = 1 << 21
 
 
@@ -151,7 +152,7 @@ def fit(sample: np.ndarray, n_rows: int, seed: int = 1) -> Router:
     """Learn parts for a table of ``n_rows`` vectors from a sample of them."""
     rng = np.random.default_rng(seed)
     x = np.unique(sample, axis=0)
-    n_parts = int(min(MAX_PARTS, -(-n_rows // PART_ROWS), len(x) // 32))
+    n_parts = int(min(MAX_PARTS, n_rows**0.5 / 2, len(x) // PART_SAMPLE))
     size = x.shape[1]
     if n_parts < 2:
         return Router(np.zeros(size), 1.0, np.zeros((size, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
@@ -161,18 +162,37 @@ def fit(sample: np.ndarray, n_rows: int, seed: int = 1) -> Router:
     target = np.zeros((len(x), n_parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 0.5 / graph.shape[1])
     target[np.arange(len(x)), part] += 0.5
-    router = _trained(x, target, rng)
-    # Visit as many parts as it takes for the sample's neighbours, where the classifier files them.
-    order = np.argsort(-router.logits(x), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n_parts)[None].repeat(len(x), axis=0), axis=1)
-    needed = np.take_along_axis(place, order[graph, 0], axis=1)
-    reached = np.cumsum(np.bincount(needed.ravel(), minlength=n_parts)) / needed.size
-    router.probes = int(np.argmax(reached >= TARGET)) + 1
-    return router
+    return _trained(x, target, rng)
+
+
+def true_neighbours(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, neighbour's vector) of the k nearest other rows of a few vectors, by comparing them with every row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found, row, score = nearest_in(x, ids, _matrix(batch.column(1), x.shape[1]), batch.column(0).to_numpy(), k)
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(score), *taken.columns], ["query", "score", "id", "vector"])
 
-def learn(rows: DataFrame) -> Router | None:
+    hits = rows.select("id", "vector").mapInArrow(run, "query int, score double, id long, vector array<double>")
+    best = Window.partitionBy("query").orderBy("score", "id")
+    table = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "vector").toArrow()
+    return table["query"].to_numpy(), _matrix(table["vector"].combine_chunks(), x.shape[1])
+
+
+def probes_needed(router: Router, queries: np.ndarray, neighbours: np.ndarray) -> int:
+    """How many parts the queries must visit, so that a share of ``TARGET`` of their neighbours is filed in one of them."""
+    n_parts = len(router.b2)
+    if not len(queries):
+        return n_parts
+    order = np.argsort(-router.logits(queries), axis=1, kind="stable")
+    at = (order == router.part(neighbours)[:, None]).argmax(axis=1)
+    reached = np.cumsum(np.bincount(at, minlength=n_parts)) / len(at)
+    return int(np.argmax(reached >= TARGET)) + 1
+
+
+def learn(rows: DataFrame, k: int = 10) -> Router | None:
     """Learn from a hash-chosen sample of (id, vector) rows of one length; None where there are none."""
     n = rows.count()
     if not n:
@@ -182,9 +202,15 @@ def learn(rows: DataFrame) -> Router | None:
     drawn = rows.where(draw <= int(rate * (1 << 30))).select("id", "vector").toArrow()
     if not drawn.num_rows:
         drawn = rows.limit(1).toArrow()
-    column = drawn["vector"].combine_chunks()
-    x = np.asarray(column.flatten(), np.float64).reshape(drawn.num_rows, -1)
-    return fit(x[np.lexsort((*x.T[::-1], drawn["id"].to_numpy()))], n)
+    x, ids = _matrix(drawn["vector"].combine_chunks(), len(drawn["vector"][0])), drawn["id"].to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))
+    x, ids = x[order], ids[order]
+    router = fit(x, n)
+    if len(router.b2) > 1:
+        trials = np.random.default_rng(2).permutation(len(x))[:TRIALS]
+        found, near = true_neighbours(rows, ids[trials], x[trials], k)
+        router.probes = probes_needed(router, x[trials][found], near)
+    return router
 
 
 def _filed(rows: DataFrame, router: Router) -> DataFrame:
@@ -247,7 +273,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     size = lengths["n"] if lengths else 0
     rows = rows.where(F.size("vector") == size)
     asked = usable(queries, id_col, vector_col).where(F.size("vector") == size)
-    router = learn(rows)
+    rows = materialize(rows, "usable")
+    router = learn(rows, max(1, k))
     if router is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     filed, routed = materialize(_filed(rows, router), "filed"), materialize(_routed(asked, router), "routed")
