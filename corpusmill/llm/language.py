@@ -1,6 +1,6 @@
 """Language identification by nearest centroid over TF-IDF vectors of character n-grams.
 
-Learning takes a bounded, hash-chosen sample: at most about ``SAMPLE_ROWS`` windows, shared out evenly over the languages.
+Learning takes a bounded, hash-chosen sample: at most about ``SAMPLE_ROWS`` whole texts, shared out evenly over the languages.
 Each language gets several centroids by spherical k-means. A text is compared with all of them by cosine, whole; it is rejected
 where its distance to the nearest is out of what windows of its own length show in the sample.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.appended import with_columns
 
 #: Bounds of the training sample: windows in all, windows of one language, characters of a window.
-SAMPLE_ROWS, LANGUAGE_ROWS, WINDOW_CHARS = 20_000, 1_500, 2_000
+SAMPLE_ROWS, LANGUAGE_ROWS = 20_000, 1_000
 N_GRAMS, BUCKET_BITS, TERMS, CENTROIDS = (1, 2, 3), 20, 4_096, 4
 #: A text is rejected below this share of the similarity that all but a thousandth of windows of its length reach.
 TAIL, SLACK = 0.001, 0.7
@@ -162,8 +162,8 @@ def _spherical_means(vectors: np.ndarray, k: int, rng, rounds: int = 12) -> np.n
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the text and non-null language of a bounded sample of the rows; the caller leaves out what is held out.
 
-    Rows are drawn by a hash of their id at a rate set by the count of their language, so that no group is gathered; of each
-    one window is taken, at a place that the hash decides.
+    Rows are drawn by a hash of their id at a rate set by the count of their language, so that no group is gathered; their
+    texts are taken whole.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     counts = {r[0]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
@@ -172,10 +172,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return fit([], [])
     draw = F.pmod(F.xxhash64(F.lit("sample"), id_col, F.crc32(F.col(text_col))), F.lit(1_000_000))
     rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_000 * min(1.0, want / n)) + 1)])
-    place = F.pmod(F.xxhash64(F.lit("place"), id_col), F.greatest(F.length(text_col) - WINDOW_CHARS + 1, F.lit(1))) + 1
-    drawn = rows.where(draw < rates[F.col(lang_col)]).select(
-        F.substring(F.col(text_col), place.cast("int"), F.lit(WINDOW_CHARS)).alias("t"), F.col(lang_col).alias("l")
-    )
+    drawn = rows.where(draw < rates[F.col(lang_col)]).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     # The order of arrival is left to chance by Spark; fitting must not depend on it.
     sample = sorted((r["t"], r["l"]) for r in drawn.collect())
     return fit([t for t, _ in sample], [lang for _, lang in sample])

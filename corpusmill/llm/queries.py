@@ -120,15 +120,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
-def crc_mod(docs: DataFrame, n: int) -> Column:
-    """crc32 of the document id as text, modulo n."""
-    return F.crc32(docs["doc_id"].cast("string")) % n
+def in_fold(docs: DataFrame, n: int, fold: int) -> Column:
+    """Whether crc32 of the document id as text, modulo n, is the fold; a null id is in none."""
+    return F.coalesce(F.crc32(docs["doc_id"].cast("string")) % n == fold, F.lit(False))
 
 
 @_query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = crc_mod(docs, 3) == 1
+    held_out = in_fold(docs, 3, 1)
     model = language.learn(docs.where(~held_out))
     found = language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -137,7 +137,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod(docs, 5) == 0
+    held_out = in_fold(docs, 5, 0)
     network = toxicity.learn(docs.where(~held_out), _table(spark, sf_dir, "labels"))
     found = toxicity.judge(docs.select("doc_id", "text", held_out.alias("held_out")), network)
     return found.select("doc_id", "held_out", "score", "predicted")

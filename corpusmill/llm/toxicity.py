@@ -3,7 +3,7 @@
 A word is the learned vector of its hash plus the mean of the learned vectors of its character 3- to 5-grams. Windows of
 ``WINDOW`` words overlap by a quarter and cover the whole text; the score of a text is that of its worst window. Learning takes a
 bounded, hash-chosen sample of labelled rows. A label belongs to a text and not to a window, so a toxic text teaches by its
-worst window after the first round, a clean one by all windows drawn.
+worst window after the first round, a clean one by all windows.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.appended import with_columns
 
-#: Bounds of the training sample: texts of each label, windows of a text.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 2_500, 4_000, 6
+#: Bounds of the training sample: texts of each label, each of them whole.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS, WORD_SIZE, CHAR_SIZE = 1 << 13, 1 << 14, 8, 12
 HIDDEN, ATTENTION = 12, 12
@@ -295,23 +295,11 @@ def fit(bags: list[tuple[int, list[list[str]]]], seed: int = 1) -> Network:
     return network
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        labels, kept = [], []
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            starts = window_starts(len(words))
-            order = sorted(starts, key=lambda s: zlib.crc32(f"{s} {len(words)} {words[s : s + 1]}".encode("utf-8", "surrogatepass")))
-            labels.append(toxic)
-            kept.append([" ".join(words[s : s + WINDOW]) for s in order[:SAMPLE_WINDOWS]])
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(kept, pa.list_(pa.string()))], ["toxic", "windows"])
-
-
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
     """Learn from labelled rows; the caller leaves out what is held out. An id with several labels is toxic if one is.
 
     Rows are drawn by a hash of their id at a rate set by the count of their label, about ``SAMPLE_TOXIC`` and
-    ``SAMPLE_CLEAN`` at most, and of each up to ``SAMPLE_WINDOWS`` windows, by hash too.
+    ``SAMPLE_CLEAN`` at most; all windows of their texts teach.
     """
     label = F.col(label_col).cast("int")
     one = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("toxic"))
@@ -323,10 +311,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = one.where(draw < F.when(F.col("toxic") == 1, int(1_000_000 * rates[1]) + 1).otherwise(int(1_000_000 * rates[0]) + 1))
     # The drawn ids are bounded by the sample's size, so their broadcast is.
     drawn = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), id_col)
-    found = drawn.select("text", "toxic").mapInArrow(_sampled_windows, "toxic int, windows array<string>").collect()
     # Arrival order is chance; fitting must not depend on it.
-    bags = sorted((r["toxic"], r["windows"]) for r in found)
-    return fit([(toxic, [w.split() for w in windows]) for toxic, windows in bags])
+    sample = sorted((r["toxic"], words_of(r["text"])) for r in drawn.select("text", "toxic").collect())
+    return fit([(toxic, [words[s : s + WINDOW] for s in window_starts(len(words))]) for toxic, words in sample])
 
 
 def judge(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:

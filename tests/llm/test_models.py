@@ -106,3 +106,61 @@ def test_language_of_odd_tables(spark):
     nothing = language.learn(docs.where("lang = 'xx'"))
     assert {(r.lang_pred, r.rejected) for r in language.identify(docs, nothing).collect()} == {("und", True)}
     assert language.identify(docs.limit(0), model).collect() == []
+
+
+def plain_score(network, text):
+    """One text, one window and one step at a time."""
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    words = toxicity.words_of(text)
+    best, p = -np.inf, {k: v.astype(np.float64) for k, v in network.p.items()}
+    for start in toxicity.window_starts(len(words)) if words else []:
+        window = words[start : start + toxicity.WINDOW]
+        vectors = []
+        for w in window:
+            one = toxicity.Words.of([w])
+            grams = p["char"][one.gram].sum(axis=0) / one.n_grams[0] if len(one.gram) else np.zeros(p["char"].shape[1])
+            vectors.append(np.concatenate((p["word"][one.bucket[0]], grams)))
+        h = toxicity.HIDDEN
+        states = np.zeros((len(window), 2 * h))
+        for side, order in ((0, range(len(window))), (1, reversed(range(len(window))))):
+            state = np.zeros(h)
+            for t in order:
+                x = (vectors[t] @ p["wx"] + p["bx"])[3 * h * side : 3 * h * (side + 1)]
+                u = state @ p["u"][side] + p["bu"][side, 0]
+                z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                state = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * state
+                states[t, h * side : h * (side + 1)] = state
+        attention = np.tanh(states @ p["wa"] + p["ba"]) @ p["va"]
+        weight = np.exp(attention - attention.max())
+        best = max(best, float(weight / weight.sum() @ states @ p["wo"] + p["bo"][0]))
+    return sigmoid(best)
+
+
+def test_scores_equal_a_plain_scorer():
+    network = toxicity.Network.new(5)
+    rng = np.random.default_rng(6)
+    network.p = {k: v + 0.2 * rng.standard_normal(v.shape).astype(np.float32) for k, v in network.p.items()}
+    texts = ["one", "a été b, İx", " ".join(f"w{i}" for i in range(130)), "x " * 48, "y z " * 30, ""]
+    assert network.score(texts) == pytest.approx([plain_score(network, t) for t in texts], abs=1e-4)
+
+
+def test_a_null_id_is_not_held_out(spark, tmp_path):
+    rows = [(i, "the quick brown fox of the north", "en") for i in range(40)] + [(None, "the fox", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op2_toxicity", "op9_language"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == 41 and [r.held_out for r in got if r.doc_id is None] == [False]
+
+
+def test_language_of_one_text_does_not_depend_on_others(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r.text, r.lang) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    model = language.fit([t for t, _ in rows], [lang for _, lang in rows])
+    texts = [t for t, _ in rows[:40]] + ["", "123", "a"]
+    together = model.judge(texts)
+    alone = [model.judge([t]) for t in texts]
+    assert list(together[0]) == [a[0][0] for a in alone]
+    assert np.allclose(together[1], [a[1][0] for a in alone]) and list(together[2]) == [a[2][0] for a in alone]
