@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import pieces
 
-CHUNK_CHARS = 8_192
+CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 
 
