@@ -178,7 +178,8 @@ def sync_snapshot(store: CorpusStore, snapshot: DataFrame, replace: bool = False
         none = store.spark.createDataFrame([], CORPUS)
         sound, _ = admit(none, materialize(snapshot, "snapshot"))
         store.records.replace(sound)
-        store.build_aids()
+        if store.counts.exists():
+            store.build_aids()
         store.rebuild_postings()
         return None
     result = merge_batch(store, snapshot)

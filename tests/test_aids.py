@@ -12,6 +12,7 @@ from corpusmill.sources.corpus_store import CorpusStore
 def store(spark, tmp_path):
     made = CorpusStore(spark, str(tmp_path))
     made.init()
+    made.build_aids()
     return made
 
 
@@ -52,6 +53,13 @@ def test_imports_ask_the_filters(store, make_corpus):
     assert second.probe["hashes"] == 3 and second.probe["found"] == 2 <= second.probe["passing"]
 
 
+def test_a_corpus_without_aids_reads_its_records(spark, tmp_path, make_corpus):
+    plain = CorpusStore(spark, str(tmp_path))
+    plain.init()
+    result = _merge(plain, make_corpus, [("n", "d", "one", "community", "a")])
+    assert result.probe is None and result.counts["added"] == 1 and _counts(plain) == {("a", "community"): 1}
+
+
 def test_filters_out_of_step_are_not_asked(store, make_corpus):
     _merge(store, make_corpus, [("n", "d", "one", "community")])
     store.records.append(make_corpus([("m", "d", "two", "community")]))
