@@ -23,8 +23,10 @@ HEADLINE = [
     "category_counts",
     "doc_tokens",
     "term_stats",
+    "kw_any",
     "kw_batch",
     "kw_all",
+    "kw_prefix",
     "kw_phrase",
     "vector_topk_batch",
     "retrieve_live",
