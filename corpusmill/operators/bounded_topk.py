@@ -37,28 +37,24 @@ def blocks(gains: DataFrame) -> DataFrame:
     return gains.groupBy("unit", "class").agg(F.max("gain").alias("top"), F.count("*").alias("n"))
 
 
-def record_rows(gains: DataFrame) -> DataFrame:
-    """(id, gains): the gains of a record, at most as many as it has distinct units, as a map."""
-    entries = F.map_from_entries(F.collect_list(F.struct("unit", "gain")))
-    return materialize(gains.groupBy("id").agg(entries.alias("gains")), "gains-by-record")
+def scored(pairs: DataFrame, gains: DataFrame, plan: DataFrame) -> DataFrame:
+    """(query_id, id, score, present, needed) of the pairs whose record holds none of the query's negated units.
 
-
-def query_rows(plan: DataFrame) -> DataFrame:
-    """(query_id, units, needed): the units of a query as an array of (unit, negated, weight)."""
-    units = F.sort_array(F.collect_list(F.struct("unit", "negated", "weight")))
-    return plan.groupBy("query_id").agg(units.alias("units"), F.max("needed").alias("needed"))
-
-
-def scored(pairs: DataFrame, by_record: DataFrame, by_query: DataFrame) -> DataFrame:
-    """(query_id, id, score, present, needed) of the pairs whose record holds none of the query's negated units."""
-    joined = pairs.join(by_query, "query_id").join(by_record, "id")
-    held = F.filter("units", lambda u: F.map_contains_key(F.col("gains"), u.unit))
-    met = joined.select("query_id", "id", "needed", "gains", held.alias("held")).where(~F.exists("held", lambda u: u.negated))
-    total = F.reduce("held", F.lit(0.0), lambda s, u: s + u.weight * F.try_element_at(F.col("gains"), u.unit))
-    return met.select("query_id", "id", total.alias("score"), F.size("held").alias("present"), "needed").where("present > 0")
-
-
-def thresholds(gains: DataFrame, bounds: DataFrame, by_record: DataFrame, by_query: DataFrame, k: int) -> DataFrame:
+    Gains meet the queries' units and, before anything is summed, the pairs: the others end there.
+    """
+    wanted = broadcast_if_small(materialize(pairs.select("query_id", "id").distinct(), "pairs"))
+    units = broadcast_if_small(plan.select("query_id", "unit", "negated", "weight", "needed"))
+    met = gains.select("unit", "id", "gain").join(units, "unit").join(wanted, ["query_id", "id"], "left_semi")
+    summed = met.groupBy("query_id", "id").agg(
+        F.sum(F.when(~F.col("negated"), F.col("weight") * F.col("gain"))).alias("score"),
+        F.count_if(~F.col("negated")).alias("present"),
+        F.max("negated").alias("barred"),
+        F.max("needed").alias("needed"),
+    )
+    return summed.where("NOT barred AND present > 0").drop("barred")
+
+
+def thresholds(gains: DataFrame, bounds: DataFrame, plan: DataFrame, k: int) -> DataFrame:
     """(query_id, threshold): a score that k records of the query are known to reach; 0 where fewer are known."""
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "unit", "class")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,7 +66,7 @@ def thresholds(gains: DataFrame, bounds: DataFrame, by_record: DataFrame, by_que
     seeds = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= SEEDS * k).select("query_id", "id")
     # At most SEEDS * k scores of a query.
     scores = F.sort_array(F.collect_list("score"), asc=False)
-    reached = scored(seeds, by_record, by_query).groupBy("query_id").agg(F.get(scores, F.lit(k - 1)).alias("threshold"))
+    reached = scored(seeds, gains, plan).groupBy("query_id").agg(F.get(scores, F.lit(k - 1)).alias("threshold"))
     return reached.select("query_id", F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
 
@@ -90,12 +86,12 @@ def leads(bounds: DataFrame, reached: DataFrame) -> DataFrame:
     return found.select("query_id", "unit", "class", "weight", "rest", "threshold")
 
 
-def likely_pairs(gains: DataFrame, plan: DataFrame, by_record: DataFrame, by_query: DataFrame, k: int) -> DataFrame:
+def likely_pairs(gains: DataFrame, plan: DataFrame, k: int) -> DataFrame:
     """(query_id, id): every pair that may be among the k best of its query, and few others."""
     wanted = plan.where("NOT negated").select("query_id", "unit", "weight")
     bounds = blocks(gains).join(broadcast_if_small(wanted), "unit")
     bounds = materialize(bounds.withColumn("bound", F.col("weight") * F.col("top")), "bounds")
-    reached = thresholds(gains, bounds, by_record, by_query, k)
+    reached = thresholds(gains, bounds, plan, k)
     leading = broadcast_if_small(materialize(leads(bounds, reached), "leads"))
     part = F.sum(F.col("weight") * F.col("gain")).alias("part")
     sums = gains.join(leading, ["unit", "class"]).groupBy("query_id", "id")

@@ -287,12 +287,8 @@ def matched(
     n_records, mean_tokens = _corpus_size(hits)
     gains = _gains(hits, mean_tokens)
     plan = materialize(_plan(asked, gains, n_records), "plan")
-    by_record, by_query = bounded_topk.record_rows(gains), broadcast_if_small(materialize(bounded_topk.query_rows(plan), "by-query"))
-    if mode == "any":
-        pairs = bounded_topk.likely_pairs(gains, plan, by_record, by_query, max(1, limit))
-    else:
-        pairs = bounded_topk.pairs_with_all(gains, plan)
-    scored = bounded_topk.scored(pairs, by_record, by_query)
+    pairs = bounded_topk.likely_pairs(gains, plan, max(1, limit)) if mode == "any" else bounded_topk.pairs_with_all(gains, plan)
+    scored = bounded_topk.scored(pairs, gains, plan)
     return (scored if mode == "any" else scored.where("present = needed")).drop("present", "needed")
 
 
