@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.appended import with_columns
 
 #: Bounds of the training sample: texts of each label, each of them whole.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 2_500
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_000, 2_000
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, CHAR_BUCKETS, WORD_SIZE, CHAR_SIZE = 1 << 13, 1 << 14, 8, 12
 HIDDEN, ATTENTION = 12, 12
