@@ -1,7 +1,8 @@
 """Records that refer to other records: which ones each needs, over any number of steps.
 
 A semi-naive fixpoint: every round joins only the pairs found in the round before with the references, and keeps those
-not met yet. It takes as many rounds as the longest shortest chain, whatever the size of the corpus.
+not met yet. It takes as many rounds as the longest shortest chain, whatever the size of the corpus. Where every record is
+a root, what its needs need is being found as well, so rounds double the depth instead.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def dependencies(refs: DataFrame, roots: DataFrame, max_depth: int | None = None
     of its own; unknown references have one with known = false. `max_depth` stops after so many steps.
     """
     edges = materialize(refs.select("id", "ref", "known").distinct(), "references")
+    if edges.where("id IS NOT NULL").join(roots.select("id").distinct(), "id", "left_anti").isEmpty():
+        return _by_doubling(edges.where("id IS NOT NULL"), max_depth)
     steps = edges.select(F.col("id").alias("at"), F.col("ref").alias("id"), "known")
     frontier = roots.select(F.col("id").alias("root"), F.col("id").alias("at")).distinct()
     found, depth = None, 0
@@ -50,6 +53,30 @@ def dependencies(refs: DataFrame, roots: DataFrame, max_depth: int | None = None
     return found.select("root", "id", "depth", "known")
 
 
+def _by_doubling(edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """The dependencies of every record that has references.
+
+    With all pairs of up to `reach` steps known, a pair of more steps, up to twice as many, has a record at exactly `reach` steps on
+    its shortest way. Joining those with what they need gives the pairs of all these depths at once.
+    """
+    found = edges.select(F.col("id").alias("root"), F.col("ref").alias("id"), F.lit(1).alias("depth"), "known")
+    if max_depth is not None and max_depth < 1:
+        return found.limit(0)
+    reach = 1
+    while max_depth is None or reach < max_depth:
+        step = reach if max_depth is None else min(reach, max_depth - reach)
+        ends = found.where((F.col("depth") == reach) & F.col("known") & (F.col("id") != F.col("root")))
+        ends = ends.select("root", F.col("id").alias("at"))
+        onward = found.where(F.col("depth") <= step).select(F.col("root").alias("at"), "id", "depth", "known")
+        met = ends.join(onward, "at").groupBy("root", "id")
+        met = met.agg((F.min("depth") + reach).alias("depth"), F.max("known").alias("known"))
+        fresh = materialize(met.join(found.select("root", "id"), ["root", "id"], "left_anti"), f"needed-{reach + step}")
+        if fresh.isEmpty():
+            break
+        found, reach = found.unionByName(fresh), reach + step
+    return found.select("root", "id", "depth", "known")
+
+
 def dependency_report(roots: DataFrame, needed: DataFrame) -> DataFrame:
     """(id, n_needed, n_missing, depth, in_cycle) for every root; depth is that of the farthest record it needs."""
     other = F.col("id") != F.col("root")
