@@ -1,6 +1,7 @@
 """Costs that must not grow faster than the input: what is shuffled, how many rounds and tasks a job takes."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import bounded_topk, composite, nearest
@@ -8,6 +9,7 @@ from corpusmill.operators import keyword as kw
 from corpusmill.plans import jobs
 from corpusmill.session import OPEN_COST, SMALL_FILE_COST, small_files
 from corpusmill.sources.corpus_store import CorpusStore
+from corpusmill.sources.versions import VersionedTable
 
 
 def exchanges(frame):
@@ -95,3 +97,57 @@ def test_scores_by_folded_maxima(monkeypatch):
     monkeypatch.setattr(nearest.np, "round", lambda a, *rest: (sizes.append(np.size(a)), real(a, *rest))[1])
     nearest._score(rng.normal(size=(90, 6)), stored, 5, None)
     assert sum(sizes) < 90 * 700 / 4
+
+
+def test_stored_postings_shuffle_text_not_grams(spark, make_corpus, tmp_path, monkeypatch):
+    rows = make_corpus([(f"n{i}", "", f"memory leak number {i} of many leaks", "community") for i in range(20)])
+    store, plans, real = CorpusStore(spark, str(tmp_path)), [], VersionedTable._write
+    store.records.replace(rows.limit(12))
+    monkeypatch.setattr(VersionedTable, "_write", lambda table, frame, at: (plans.append(frame), real(table, frame, at))[1])
+    store.rebuild_postings()
+    store.records.append(rows.join(store.read().select("id"), "id", "left_anti"))
+    assert store.update_postings() == {"added": 8, "removed": 0}
+    written = [frame for frame in plans if "gram" in frame.columns]
+    assert len(written) == 2 and not [line for frame in written for line in exchanges(frame) if "gram" in line or "bucket" in line]
+    # One stored row per token and record: a pair is read off the row of its first word.
+    flat = kw.build_postings(rows)
+    stored = spark.read.parquet(*[str(p) for p in tmp_path.glob("*postings/base=*/rows/v=*")])
+    assert stored.count() == flat.where("words < 2").count()
+    names = ["gram", "words", "id", "field", "pos", "n_tokens"]
+    assert sorted(map(tuple, store.postings.read().select(*names).collect())) == sorted(map(tuple, flat.select(*names).collect()))
+    store.postings.compact()
+    assert store.postings.read().count() == flat.count()
+
+
+def test_pairs_lie_in_the_bucket_of_their_first_word(spark, make_corpus, tmp_path):
+    rows = make_corpus([(f"n{i}", "", f"memory leak w{i} w{i + 1} end", "community") for i in range(80)])
+    store = CorpusStore(spark, str(tmp_path))
+    store.records.replace(rows)
+    store.rebuild_postings()
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1} end") for i in range(5)] + [(9, "leak w7")], "query_id long, query string")
+    for mode in ("phrase", "any", "all"):
+        hits = kw.search_postings(store.postings.read(), queries, mode, push_grams=True).collect()
+        assert sorted(map(tuple, hits)) == sorted(map(tuple, kw.keyword_search(rows, queries, mode).collect())) != []
+    buckets = spark.range(64).withColumnRenamed("id", "bucket")
+    assert [r.bucket for r in buckets.where(kw.in_buckets([63, 4, 5, 9])).collect()] == [4, 5, 9, 63]
+    assert buckets.where(kw.in_buckets([])).count() == 0
+
+
+def test_a_dictionary_that_missed_its_postings_catches_up(spark, make_corpus, tmp_path, monkeypatch):
+    store = CorpusStore(spark, str(tmp_path))
+    store.records.replace(make_corpus([("first", "", "memory", "community")]))
+    store.rebuild_postings()
+    late = make_corpus([("late", "", "memories", "community")])
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store.terms, "append", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            store.apply(late)
+    assert not store.in_step("postings")
+    assert store.update_postings() == {"added": 0, "removed": 0}
+    assert sorted(r.term for r in store.terms.read().collect()) == ["first", "late", "memories", "memory"]
+    store.apply(make_corpus([("last", "", "memory", "community")]))
+    assert sorted(r.term for r in store.terms.read().collect()) == ["first", "last", "late", "memories", "memory"]
