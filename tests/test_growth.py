@@ -151,3 +151,19 @@ def test_a_dictionary_that_missed_its_postings_catches_up(spark, make_corpus, tm
     assert sorted(r.term for r in store.terms.read().collect()) == ["first", "late", "memories", "memory"]
     store.apply(make_corpus([("last", "", "memory", "community")]))
     assert sorted(r.term for r in store.terms.read().collect()) == ["first", "last", "late", "memories", "memory"]
+
+
+def test_scored_pairs_meet_their_records_before_their_units(spark, monkeypatch):
+    gains = spark.createDataFrame([(u, f"r{i}", 1.0 + u) for u in range(4) for i in range(30)], "unit long, id string, gain double")
+    plan = spark.createDataFrame([(q, u, u == 3 and q == 2, 1.0, 4) for q in range(5) for u in range(4)],
+                                 "query_id long, unit long, negated boolean, weight double, needed long")
+    pairs = spark.createDataFrame([(0, "r1"), (1, "r1"), (2, "r5"), (0, "r1")], "query_id long, id string")
+    met, real = [], bounded_topk._summed
+    monkeypatch.setattr(bounded_topk, "_summed", lambda frame: (met.append(frame), real(frame))[1])
+    small = sorted(map(tuple, bounded_topk.scored(pairs, gains, plan, 150).collect()))
+    assert small == [(0, "r1", 10.0, 4, 4), (1, "r1", 10.0, 4, 4)]
+    joins = [line for line in met[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    # The innermost join, last in the plan, is the one with the records.
+    assert len(joins) == 2 and "unit" not in joins[-1] and "id#" in joins[-1]
+    monkeypatch.setattr(bounded_topk, "is_small", lambda *_: False)
+    assert sorted(map(tuple, bounded_topk.scored(pairs, gains, plan, 150).collect())) == small
