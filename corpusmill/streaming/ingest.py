@@ -10,7 +10,7 @@ from corpusmill.plans.jobs import Importer, import_files, index_batch
 from corpusmill.schema import RECORD_FILE
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.folders import qualified
-from corpusmill.sources.records import located
+from corpusmill.sources.records import WHOLE_FILES, located
 
 
 def ingest_stream(
@@ -33,10 +33,11 @@ def ingest_stream(
     spark = store.spark
     base = qualified(spark, root)
     store.init()
-    reader = spark.readStream
+    # A stream needs the columns of its files told.
+    reader = spark.readStream.format(WHOLE_FILES).schema("path string, modificationTime timestamp, length long, content binary")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    files = reader.load(root, recursiveFileLookup=True, pathGlobFilter=pattern)
 
     def take(batch: DataFrame, _: int) -> None:
         follows = encoder is not None and store.index.exists()
