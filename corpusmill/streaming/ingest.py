@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusmill.encoders import Encoder
 from corpusmill.plans.jobs import Importer, import_files, index_batch
 from corpusmill.schema import RECORD_FILE
+from corpusmill.session import streaming_copy
 from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.folders import qualified
 from corpusmill.sources.records import WHOLE_FILES, located
@@ -28,13 +29,14 @@ def ingest_stream(
     The merge skips what the corpus already holds at equal priority, so a batch delivered twice
     after a failure changes no record. Stored postings, and given an encoder an existing index, follow
     each batch at the cost of that batch; where a batch died before they did, the next one brings them in step in
-    full. The curated importer's licence gate and the encoder are checked before a batch writes anything.
+    full. The curated importer's licence gate and the encoder are checked before a batch writes anything. The query runs in a
+    copy of the store's session.
     """
     spark = store.spark
     base = qualified(spark, root)
     store.init()
     # A stream needs the columns of its files told.
-    reader = spark.readStream.format(WHOLE_FILES).schema("path string, modificationTime timestamp, length long, content binary")
+    reader = streaming_copy(spark).readStream.format(WHOLE_FILES).schema("path string, modificationTime timestamp, length long, content binary")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     files = reader.load(root, recursiveFileLookup=True, pathGlobFilter=pattern)

@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from corpusmill.plans import tables as tb
+from corpusmill.session import LISTING_TASKS, OPEN_COST, streaming_copy
+from corpusmill.sources.corpus_store import CorpusStore
 from corpusmill.sources.folders import write_text_files
 from corpusmill.sources.records import scan_record_files
+from corpusmill.streaming.ingest import ingest_stream
 
 
 def tree(root):
@@ -43,3 +46,28 @@ def test_whole_files_are_read_as_bytes(spark, tmp_path):
     as_text = spark.read.text(str(tmp_path), wholetext=True, recursiveFileLookup=True)
     hexed = lambda frame, c: sorted(r[0] for r in frame.select(F.hex(F.col(c).cast("binary"))).collect())
     assert hexed(found, "text") == hexed(as_text, "value") and found.count() == 3
+
+
+def test_a_stream_lists_and_scans_in_few_tasks(spark, tmp_path):
+    n = 12 * spark.sparkContext.defaultParallelism + 40
+    for i in range(n):
+        (tmp_path / "in" / f"r{i}").mkdir(parents=True)
+        (tmp_path / "in" / f"r{i}" / "SKILL.md").write_text(f"---\nname: n{i}\ndescription: d\n---\nbody {i}")
+    before = {key: spark.conf.get(key) for key in (OPEN_COST, LISTING_TASKS)}
+    store = CorpusStore(spark, str(tmp_path / "store"))
+    query = ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    assert store.read().count() == n and {key: spark.conf.get(key) for key in before} == before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds]
+    sizes = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert sizes and max(sizes) < n
+
+
+def test_a_copy_keeps_lower_settings_and_the_session_its_own(spark):
+    copy = streaming_copy(spark)
+    copy.conf.set(LISTING_TASKS, "3")
+    copy.conf.set(OPEN_COST, "1000")
+    again = streaming_copy(copy)
+    assert (again.conf.get(LISTING_TASKS), again.conf.get(OPEN_COST)) == ("3", "1000")
+    assert spark.conf.get(LISTING_TASKS) != "3"
