@@ -9,15 +9,19 @@ A phrase all of whose flow goes on along a single edge, or comes in along one, l
 phrase, that is, it is not reported. Longer phrases never occur more often than what they hold, so looking one word to either
 side is enough.
 
-Only words, and pairs of words, that occur ``min_count`` times can be part of a phrase that does. They are counted first, and pieces are
-broken wherever a pair is rarer, which loses no phrase and keeps the edges few. The two lists reach the tasks only behind a size check;
-without them the edges are more and the result is the same.
+Only words and grams that occur ``min_count`` times can be part of a phrase that does. Words are counted first, then the pairs of frequent
+words, then the longer grams of what is left; pieces are broken at rare pairs and edges cut short before they hold a longer rare gram, which
+loses no phrase and leaves hardly an edge that is no phrase. Grams are counted by a hash of bounded width: a task holds one table of
+counters and shuffles that, not its grams. Grams that share a hash share a counter, so a rare one may pass, and a frequent one always does. The list
+of words reaches the tasks only behind a size check; without it the edges are more and the result is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,11 @@ from corpusmill.session import broadcast_if_small, is_small, materialize
 LONGEST = 5
 SLICE_BYTES = 4 << 20
 NO_LANGUAGE = "und"
+#: Counters of a table: as many as 2 to one of these bits, the more the more words, and those that travel as one row.
+FEWEST_BITS, MOST_BITS = 16, 25
+BLOCK = 1 << 16
+#: Odd numbers that spread a hash over its 64 bits.
+MIX, LAST_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What separates words (1) and ends pieces (2), by byte; letters A-Z are lowered.
 KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
@@ -87,11 +96,16 @@ class Words:
                 table[k] = np.where(at < 0, -1, first + at)
         return table[self.lang, self.code] if len(self.code) else np.zeros(0, np.int64)
 
-    def pairs(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, key) of the words that stand with the next one in a piece, both of them numbered."""
-        at = np.flatnonzero(self.linked)
-        at = at[(number[at] >= 0) & (number[at + 1] >= 0)]
-        return at, number[at] << 32 | number[at + 1]
+    def linked_by(self, number: np.ndarray) -> np.ndarray:
+        """Whether each word stands with the next one in a piece, both of them numbered."""
+        known = number >= 0
+        return self.linked & known & np.concatenate((known[1:], [False]))[: len(known)]
+
+    def room(self, linked: np.ndarray) -> np.ndarray:
+        """How many words there are from each word on until a link is missing."""
+        here = np.arange(len(linked))
+        stops = np.flatnonzero(~linked) + 1
+        return stops[np.searchsorted(stops, here, side="right")] - here
 
     def counted(self, at: np.ndarray, room: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(positions, size, counts) of the distinct grams at some positions, each as long as its room allows."""
@@ -121,39 +135,96 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
                 yield found
 
 
-def _pairs(docs: DataFrame, words) -> DataFrame:
-    """(pair, n): counts of neighbouring words of a broadcast list, by their two numbers."""
+def _hashed(number: np.ndarray, room: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, positions, hash) of the grams of two words and more that have room."""
+    at = np.flatnonzero(number >= 0)
+    key = number[at].astype(np.uint64)
+    for size in range(2, longest + 1):
+        more = room[at] >= size
+        at, key = at[more], key[more]
+        key = (key ^ key >> np.uint64(29)) * MIX + number[at + size - 1].astype(np.uint64)
+        yield size, at, (key ^ key >> np.uint64(32)) * LAST_MIX
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _slices(batches):
-            pair, n = np.unique(found.pairs(found.numbers(words.value))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
 
-    rows = docs.select("lang", "text").mapInArrow(run, "pair long, n long")
-    return rows.groupBy("pair").agg(F.sum("n").alias("n"))
+class Marks(NamedTuple):
+    """One bit for each counter of a table: whether it reached its bound."""
+
+    bits: int
+    packed: np.ndarray
+
+    def hold(self, key: np.ndarray) -> np.ndarray:
+        at = key >> np.uint64(64 - self.bits)
+        return (self.packed[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _links(found: Words, number: np.ndarray, pairs: Marks | None) -> np.ndarray:
+    """Whether each word is followed in its piece by one with which it may be part of a phrase."""
+    linked = found.linked_by(number)
+    if pairs is not None:
+        for _, at, key in _hashed(number, found.room(linked), 2):
+            linked[at] = pairs.hold(key)
+    return linked
+
 
+def _marks(docs: DataFrame, words, min_count: int, sizes: Sequence[int], bits: int, pairs=None):
+    """Marks of the grams of some sizes that may occur ``min_count`` times, for all tasks.
 
-def _grams(docs: DataFrame, longest: int, words=None, pairs=None) -> DataFrame:
+    Counters stop at the bound, so they are narrow. Each task sends one table at most, so as many tasks as cores do the counting.
+    """
+    bound = max(1, min_count)
+    kind = np.min_scalar_type(bound)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, kind)
+        for found in _slices(batches):
+            number = found.numbers(words.value)
+            linked = _links(found, number, None if pairs is None else pairs.value)
+            for size, _, key in _hashed(number, found.room(linked), max(sizes)):
+                if size in sizes:
+                    at, n = np.unique(key >> np.uint64(64 - bits), return_counts=True)
+                    table[at] = np.minimum(table[at] + n, bound)
+        for at in range(0, len(table), BLOCK):
+            part = table[at : at + BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], ["at", "counters"])
+
+    def reach(parts: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for part in parts.column("counters"):
+            total += np.frombuffer(part.as_buffer(), kind)
+        packed = pa.array([np.packbits(total >= bound).tobytes()], pa.binary())
+        return pa.table({"at": parts.column("at").slice(0, 1), "packed": packed})
+
+    spark = docs.sparkSession
+    rows = docs.select("lang", "text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(count, "at long, counters binary")
+    packed = np.zeros((1 << bits) // 8, np.uint8)
+    for row in rows.groupBy("at").applyInArrow(reach, "at long, packed binary").collect():
+        packed[row["at"] // 8 : (row["at"] + BLOCK) // 8] = np.frombuffer(row["packed"], np.uint8)
+    return spark.sparkContext.broadcast(Marks(bits, packed))
+
+
+def _grams(docs: DataFrame, longest: int, words=None, pairs=None, longer=None) -> DataFrame:
     """Grams of ``longest`` words, and shorter ones where a piece ends, with their counts in a slice of texts.
 
-    Words outside ``words`` are left out, and pieces are broken where a pair is not in ``pairs``. Both are broadcasts, or None.
+    Words outside ``words`` are left out, pieces are broken where a pair is not in ``pairs``, and grams end before they hold one that is not in
+    ``longer``. All three are broadcasts, or None.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _slices(batches):
             here = np.arange(len(found.code))
-            linked, at = found.linked, here
+            at, room = here, found.room(found.linked)
             if words is not None:
                 number = found.numbers(words.value)
                 at = np.flatnonzero(number >= 0)
-                joined, pair = found.pairs(number)
-                if pairs is not None:
-                    held = pairs.value
-                    joined = joined[held[np.minimum(np.searchsorted(held, pair), len(held) - 1)] == pair] if len(held) else joined[:0]
-                linked = np.zeros(len(here), bool)
-                linked[joined] = True
-            stops = np.flatnonzero(~linked) + 1
-            room = stops[np.searchsorted(stops, here, side="right")] - here
+                room = found.room(_links(found, number, None if pairs is None else pairs.value))
+                if longer is not None:
+                    end = here + room
+                    for size, first, key in _hashed(number, room, longest):
+                        if size > 2:
+                            rare = first[~longer.value.hold(key)]
+                            end[rare] = np.minimum(end[rare], rare + size - 1)
+                    room = np.minimum.accumulate(end[::-1])[::-1] - here
             for row in found.counted(at, room, longest):
                 yield found.rows(*row)
 
@@ -178,13 +249,6 @@ def _word_lists(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(lists)
 
 
-def _pair_list(frequent: DataFrame):
-    """The sorted pairs of a written table for all tasks; None where they are too many for that."""
-    if not is_small(frequent):
-        return None
-    return frequent.sparkSession.sparkContext.broadcast(np.sort(frequent.select("pair").toArrow().column(0).to_numpy()))
-
-
 def _first(phrase: Column, n: Column) -> Column:
     """The first n words of a phrase, or the last ones for a negative n."""
     return F.call_function("substring_index", phrase, F.lit(" "), n)
@@ -233,10 +297,14 @@ def collocations(
     totals = spelt.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = F.col("n") >= min_count
     words = _word_lists(materialize(spelt.where(frequent), "frequent-words"))
-    pairs = None
+    pairs = longer = None
     if words is not None:
-        pairs = _pair_list(materialize(_pairs(slim, words).where(frequent), "frequent-pairs"))
-    edges = _summed(_grams(slim, longest, words, pairs))
+        n_words = spelt.agg(F.sum("n").alias("n")).first()["n"] or 0
+        bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(1 + 8 * n_words / max(1, min_count)))))
+        pairs = _marks(slim, words, min_count, [2], bits)
+        if longest > 2:
+            longer = _marks(slim, words, min_count, range(3, longest + 1), bits, pairs)
+    edges = _summed(_grams(slim, longest, words, pairs, longer))
     # The flow out of the node of each shorter phrase, and the pieces that end with it.
     heads = [F.when(F.col("size") >= k, F.struct(_first(F.col("phrase"), F.lit(k)).alias("phrase"), F.lit(k).alias("size"))) for k in range(1, longest + 1)]
     flow = edges.select("lang", "n", F.explode(F.array_compact(F.array(*heads))).alias("g")).select("lang", "g.phrase", "g.size", "n")

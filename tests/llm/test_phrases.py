@@ -109,3 +109,32 @@ def test_query_matches_sql(spark):
     got = QUERIES["op11_phrases"](spark, "/root/testdata/sf0.001")
     assert sorted(names) == sorted(got.columns)
     assert {tuple(r) for r in got.select(*names).collect()} == set(cursor.fetchall())
+
+
+def test_rare_grams_are_left_out_before_they_are_shuffled(spark, monkeypatch):
+    # Every word and most pairs are frequent, longer grams are not, but for one phrase of six words.
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(20)}" for _ in range(60)) + ". one two three four five six." for _ in range(80)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    frames, real = [], phrases._summed
+    monkeypatch.setattr(phrases, "_summed", lambda rows: (frames.append(rows), real(rows))[1])
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 2_000)
+    got = _got(phrases.collocations(docs, min_count=40, top=2_000, longest=5))
+    assert set(got) == plain([("en", t) for t in texts], 40, 2_000, 5, 100) != set()
+    edges = frames[1].select("phrase").distinct().count()
+    # 20 words make nearly 5,000 grams of five words here.
+    assert edges < 20 + 20 * 20 + 50
+
+
+@pytest.mark.parametrize("bound", [0, 1, 300, 70_000])
+def test_marks_hold_whatever_reaches_the_bound(spark, bound):
+    docs = spark.createDataFrame([("en", "a b a b. c d")] * 700, "lang string, text string").repartition(2)
+    words = spark.sparkContext.broadcast({"en": (0, pa.array(["a", "b", "c", "d"], pa.large_string()))})
+    marks = phrases._marks(docs, words, bound, [2], phrases.FEWEST_BITS).value
+    held = {}
+    found = phrases.Words(pa.array(["en"]), pa.array(["a b a b. c d"]))
+    number = found.numbers(words.value)
+    for _, at, key in phrases._hashed(number, found.room(found.linked_by(number)), 2):
+        held = dict(zip(at.tolist(), marks.hold(key).tolist(), strict=True))
+    # a b 1,400 times, b a and c d 700 times.
+    assert held == {0: bound <= 1400, 1: bound <= 700, 2: bound <= 1400, 4: bound <= 700}
