@@ -159,3 +159,28 @@ def test_stored_prefixes_read_the_dictionary_and_the_buckets(spark, make_corpus,
     found = {q: sorted(r.name for r in hits if r.query_id == q) for q in (1, 2, 3)}
     assert found == {1: ["late"], 2: sorted(["n2", *(f"n{i}" for i in range(20, 30))]), 3: sorted(["late", *(f"n{i}" for i in range(30))])}
     assert {"wordy", "memories", "word7"} <= {r.term for r in store.terms.read().collect()}
+
+
+@pytest.mark.parametrize("columns", [None, ["description"]])
+def test_prefixes_of_too_many_terms_shuffle_no_postings(spark, make_corpus, monkeypatch, columns):
+    rows = make_corpus([(f"n{i}", f"memo{i % 7} x", f"m memory{i} wort{i % 3} é{i} 𐐷𐐷{i % 2} a{'b' * (i % 6)}", "community") for i in range(60)])
+    queries = spark.createDataFrame(
+        [(1, "memory"), (2, "m"), (3, "me wor"), (4, "memory memory1 m"), (5, "é"), (6, "𐐷 ab"), (7, "abbb a"), (8, "zz"), (9, "")],
+        "query_id long, query string",
+    )
+    options = {"limit": 100, "columns": columns, "exclude": F.lit("wort1 memory59")}
+    rounded = lambda hits: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in hits.collect())
+    want = rounded(kw.keyword_search(rows, queries, "prefix", **options))
+    frames, real = [], kw._matches
+    monkeypatch.setattr(kw, "_matches", lambda *args: (frames.append(real(*args)), frames[-1])[1])
+    monkeypatch.setattr(kw, "is_small", lambda frame: frame.count() < 60)
+    assert rounded(kw.keyword_search(rows, queries, "prefix", **options)) == want
+    assert want or columns
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(gram" in line]
+
+
+def test_the_last_prefix_does_not_end_a_shorter_one(spark):
+    terms = spark.createDataFrame([(t,) for t in ("z", "zebra", "zoo", "zz")], "term string")
+    found = prefix_terms(terms, spark.createDataFrame([("z",), ("ze",)], "prefix string")).collect()
+    assert sorted(map(tuple, found)) == [("z", "z"), ("z", "zebra"), ("z", "zoo"), ("z", "zz"), ("ze", "zebra")]
